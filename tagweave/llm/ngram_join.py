@@ -10,7 +10,7 @@ overlap. The steps:
 2. Equal sets make one class. The classes left get exact document frequencies, and with them the global order. Two
    linked sets share an n-gram among the rarest fifth of each (prefix filter), at places that leave room enough for
    the overlap (positional filter).
-3. Every class is compared with the class that most often leads the lists of its rare n-grams (the one least far down
+3. Before sets are compared, their counts in cells by hash must leave room for the overlap too. Every class is compared with the class that most often leads the lists of its rare n-grams (the one least far down
    its own order). Links make components. Then, within a list, all pairs of different components that pass the
    filters are compared: whatever could still join two components is looked at, and a group of a thousand near copies
    costs a thousand comparisons, not a million.
@@ -39,6 +39,7 @@ N = 5
 PIECE = 4 << 20
 MANY = np.uint32(0xFFFFFFFF)
 CLASSES = 12
+SPREAD = 128
 _U = np.uint64
 
 
@@ -170,7 +171,7 @@ def document_sizes(docs: DataFrame, n: int = N) -> DataFrame:
     return met.groupBy("b").applyInArrow(gather, "doc_id long, n long, fp1 long, fp2 long, alive boolean")
 
 
-_PREFIXES = "key long, n long, prefix array<struct<gram:long,pos:long>>, parts array<struct<part:int,grams:array<long>>>"
+_PREFIXES = "key long, n long, prefix array<struct<gram:long,pos:long>>, parts array<struct<part:int,grams:array<long>>>, spread array<int>"
 
 
 def global_order(texts: DataFrame, fragments: int, n: int = N) -> DataFrame:
@@ -237,7 +238,9 @@ def global_order(texts: DataFrame, fragments: int, n: int = N) -> DataFrame:
             cut = pa.StructArray.from_arrays([pa.array(part[edge].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(edge, len(gram)).astype(np.int32)), signed)], ["part", "grams"])
             bounds = [np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(size))[some])]).astype(np.int32) for x in (owner[rare], owner[edge])]
             keys = pa.array([r[2][i] for i in some.tolist()], pa.int64())
-            made.append(pa.table({"key": keys, "n": size[some], "prefix": pa.ListArray.from_arrays(pa.array(bounds[0]), prefix), "parts": pa.ListArray.from_arrays(pa.array(bounds[1]), cut)}))
+            cell = np.bincount(owner * SPREAD + (gram >> _U(32)).astype(np.int64) % SPREAD, minlength=len(size) * SPREAD).reshape(-1, SPREAD)[some]
+            spread = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SPREAD), pa.array(cell.astype(np.int32).ravel()))
+            made.append(pa.table({"key": keys, "n": size[some], "prefix": pa.ListArray.from_arrays(pa.array(bounds[0]), prefix), "parts": pa.ListArray.from_arrays(pa.array(bounds[1]), cut), "spread": spread}))
         return pa.concat_tables(made)
 
     met = texts.select("key", "text").mapInArrow(ship, _SHIPPED).groupBy("f").applyInArrow(frequencies, _SHIPPED)
@@ -249,6 +252,14 @@ def _room(a: str, b: str) -> str:
     return f"9 * (1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1)) >= 4 * ({a}.n + {b}.n)"
 
 
+def hopeful(pairs: DataFrame, order: DataFrame) -> DataFrame:
+    """Those pairs that could be links by the number of n-grams they have in each of SPREAD cells by hash."""
+    cells = order.select("key", "spread")
+    both = pairs.join(cells.select(F.col("key").alias("a"), F.col("spread").alias("sa")), "a").join(cells.select(F.col("key").alias("b"), F.col("spread").alias("sb")), "b")
+    most = F.expr("aggregate(zip_with(sa, sb, (x, y) -> int(least(x, y))), 0, (s, x) -> s + x)")
+    return both.where(9 * most >= 4 * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
+
+
 def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """pairs (a, b, na, nb) that are links: overlaps are counted in each fragment and summed per pair."""
     left = pairs.join(parts.select(F.col("key").alias("a"), "part", F.col("grams").alias("ga")), "a")
@@ -270,7 +281,7 @@ def link_groups(docs: DataFrame, n: int = N) -> DataFrame:
     led = listed.join(lead, "gram").where("m.key <> l.key and " + _room("m", "l")).groupBy("m.key", "m.n", F.col("l.key").alias("to"), F.col("l.n").alias("to_n"))
     best = F.max(F.struct("count", F.col("to").alias("b"), F.col("to_n").alias("nb"))).alias("x")
     first = led.count().groupBy(F.col("key").alias("a"), F.col("n").alias("na")).agg(best).select("a", "x.b", "na", "x.nb")
-    links = written(overlaps(first, parts), "links")
+    links = written(overlaps(hopeful(first, order), parts), "links")
     group = written(components(links), "groups")
     member = listed.join(group.select(F.col("node").alias("k"), "component"), F.col("m.key") == F.col("k"), "left")
     member = member.select("gram", "m", F.coalesce("component", "m.key").alias("g"))
@@ -279,7 +290,7 @@ def link_groups(docs: DataFrame, n: int = N) -> DataFrame:
     x, y = member.alias("x"), member.select("gram", F.col("m").alias("o"), F.col("g").alias("h")).alias("y")
     apart = x.join(y, "gram").where("g <> h and (m.n < o.n or m.n = o.n and m.key < o.key) and 5 * m.n >= 4 * o.n and " + _room("m", "o"))
     rest = apart.select(F.col("m.key").alias("a"), F.col("o.key").alias("b"), F.col("m.n").alias("na"), F.col("o.n").alias("nb")).distinct()
-    more = links.unionByName(overlaps(rest, parts))
+    more = links.unionByName(overlaps(hopeful(rest, order), parts))
     final = components(more)
     drop_written(links)
     drop_written(group)
