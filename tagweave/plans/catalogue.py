@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tagweave.plans import models, ranking, relational, registry  # noqa: F401  (each registers its queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLES)
