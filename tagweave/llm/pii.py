@@ -39,18 +39,19 @@ NEAR = 64
 ROUNDS, LEAST_SEEDS, TRUSTED, ACCEPT = 2, 3, 0.6, 0.8
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, value>> of a pattern's matches, from what lies between them and what they are."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,value:string>>)")
+def _matches(text: Column, kind: str, pattern: str) -> Column:
+    """array of a pattern's matches: how far the last one's end lies back, the match, and the text next to it."""
+    gaps = F.split(text, pattern, -1)
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["hit"])
-        more = F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("value")))
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], more)).alias("out"))
+    def one(hit: Column, i: Column) -> Column:
+        before, after = F.get(gaps, i), F.get(gaps, i + 1)
+        return F.struct(
+            F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), hit.alias("hit"),
+            F.lower(F.substring(before, F.greatest(F.length(before) - NEAR, F.lit(0)) + 1, F.lit(NEAR))).alias("before"), F.lower(F.substring(after, 1, NEAR)).alias("after"),
+        )
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.transform(hits, one)
 
 
 def _luhn(value: Column) -> Column:
@@ -80,66 +81,43 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _valid(kind: str) -> Callable[[Column], Column]:
-    return lambda x: _holds(kind, x["value"])
-
-
-def _named(kind: str) -> Callable[[Column], Column]:
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"))
-
-
 def _of(kind: str) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, s, e, value>> of the base matches, by kind as listed, then by place."""
-    need = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-    kinds = []
-    for kind in KINDS:
-        found = F.filter(_places(text, PATTERNS[kind]), _valid(kind))
-        named = F.transform(found, _named(kind))
-        kinds.append(F.when(F.contains(text, F.lit(need[kind])), named).otherwise(F.expr("cast(array() as array<struct<kind:string,s:int,e:int,value:string>>)")))
-    return F.concat(*kinds)
-
-
-def _tokens(text: Column) -> Column:
-    def bare(x: Column) -> Column:
-        value = F.regexp_replace(x["value"], r"[\p{Punct}]++$", "")
-        return F.struct(F.lit(None).cast("string").alias("kind"), x["s"].alias("s"), (x["s"] + F.length(value)).alias("e"), value.alias("value"))
-
-    return F.filter(F.transform(_places(text, TOKEN), bare), lambda x: x["value"] != "")
-
-
-def _with_words(text: Column, items: Column) -> Column:
-    """The items with the words next to them, within NEAR code points."""
-
-    def around(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["s"] - NEAR, F.lit(0)) + 1, F.least(x["s"], F.lit(NEAR))))
-        after = F.lower(F.substring(text, x["e"] + 1, F.lit(NEAR)))
-        two = F.regexp_extract(before, r"(?<!\S)(\S++\s++\S++)\s*+$", 1)
-        return F.struct(
-            x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"),
-            F.regexp_extract(before, r"(?<!\S)(\S++)\s*+$", 1).alias("left"), F.regexp_replace(two, r"\s++", " ").alias("two"), F.regexp_extract(after, r"^\S*+\s++(\S++)", 1).alias("right"),
-        )
-
-    return F.transform(items, around)
-
-
-_ITEMS = "array<struct<kind:string,s:int,e:int,value:string,left:string,two:string,right:string>>"
+_MATCHES = "array<struct<kind:string,i:int,gap:int,hit:string,before:string,after:string>>"
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, a number of its own, and `_items`: base matches and other tokens with their contexts."""
-    text = F.col("text")
-    items = _with_words(text, F.concat(base_spans(text), _tokens(text)))
-    none = F.expr(f"cast(array() as {_ITEMS})")
-    return docs.withColumn("_items", F.when(text.rlike("[0-9@]"), items).otherwise(none)).withColumn("_row", F.monotonically_increasing_id())
+    """docs with `_row`, a number of its own, and `_found`: matches of all patterns, not yet checked."""
+    text, none = F.col("text"), F.expr(f"cast(array() as {_MATCHES})")
+    need = {"email": "@", "ip": ".", "card": "", "phone": "+", "token": ""}
+    each = [F.when(F.contains(text, F.lit(need[k])), _matches(text, k, p)).otherwise(none) for k, p in [*PATTERNS.items(), ("token", TOKEN)]]
+    return docs.withColumn("_found", F.when(text.rlike("[0-9@]"), F.concat(*each)).otherwise(none)).withColumn("_row", F.monotonically_increasing_id())
 
 
-def discovered(found: DataFrame) -> DataFrame:
-    """found (_row, _items) -> (_row, added): spans that confident patterns surround and no base match touches."""
-    one = found.select("_row", F.explode("_items").alias("i")).select("_row", "i.*")
+def placed(found: DataFrame) -> DataFrame:
+    """found (_row, _found) -> a row for each base span and each other token: _row, kind (null for a token), s, e, value and the words around.
+
+    Places are running sums over a text's matches of one kind.
+    """
+    one = found.select("_row", F.explode("_found").alias("m")).select("_row", "m.*")
+    so_far = Window.partitionBy("_row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = one.withColumn("e", F.sum(F.col("gap") + F.length("hit")).over(so_far).cast("int")).withColumn("s", F.col("e") - F.length("hit"))
+    hit, kind = F.col("hit"), F.col("kind")
+    valid = F.lit(True)
+    for k in KINDS:
+        valid = F.when(kind == k, _holds(k, hit)).otherwise(valid)
+    value = F.when(kind == "token", F.regexp_replace(hit, r"[\p{Punct}]++$", "")).otherwise(hit)
+    two = F.regexp_replace(F.regexp_extract("before", r"(?<!\S)(\S++\s++\S++)\s*+$", 1), r"\s++", " ")
+    return one.where(valid).select(
+        "_row", F.when(kind != "token", kind).alias("kind"), "s", (F.col("s") + F.length(value)).alias("e"), value.alias("value"),
+        F.regexp_extract("before", r"(?<!\S)(\S++)\s*+$", 1).alias("left"), two.alias("two"), F.regexp_extract("after", r"^\S*+\s++(\S++)", 1).alias("right"),
+    ).where("value <> ''")
+
+
+def discovered(one: DataFrame) -> DataFrame:
+    """placed spans and tokens -> (_row, kind, s, e): tokens that confident patterns surround and no base span touches."""
     order = Window.partitionBy("_row").orderBy("s", F.col("kind").asc_nulls_last())
     held = F.max(F.when(F.col("kind").isNotNull(), F.col("e"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ahead = F.min(F.when(F.col("kind").isNotNull(), F.col("s"))).over(order.rowsBetween(1, Window.unboundedFollowing))
@@ -163,8 +141,7 @@ def discovered(found: DataFrame) -> DataFrame:
         new = new.join(seeds.select("value").distinct(), "value", "left_anti")
         scores = written(seeds.unionByName(new), "scores")
     best = scores.where((F.col("score") < 1.0) & (F.col("score") >= ACCEPT)).groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("as"))
-    more = one.where("kind is null").select("_row", "s", "e", "value").join(best, "value")
-    return more.groupBy("_row").agg(F.collect_list(F.struct(F.col("as").alias("kind"), "s", "e")).alias("added"))
+    return one.where("kind is null").select("_row", "s", "e", "value").join(best, "value").select("_row", F.col("as").alias("kind"), "s", "e")
 
 
 def find(docs: DataFrame, keep: bool = False) -> DataFrame:
@@ -173,14 +150,19 @@ def find(docs: DataFrame, keep: bool = False) -> DataFrame:
     keep: with docs' own columns.
     """
     columns = docs.columns if keep else ["doc_id"]
-    found = written(located(docs if keep else docs.select("doc_id", "text")).select(*columns, "_row", "_items"), "located")
-    added = discovered(found.where(F.size("_items") > 0).select("_row", "_items"))
-    base = F.transform(F.filter("_items", lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    rank = F.array(*[F.lit(k) for k in KINDS])
-    by_kind = F.transform(F.concat("base", F.coalesce("added", F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)"))), lambda x: F.struct(F.array_position(rank, x["kind"]).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    spans = F.transform(F.array_sort(by_kind), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    out = found.withColumn("base", base).join(added, "_row", "left").withColumn("spans", spans)
-    return out.select(*columns, "base", "spans")
+    found = written(located(docs if keep else docs.select("doc_id", "text")).select(*columns, "_row", "_found"), "located")
+    one = written(placed(found.where(F.size("_found") > 0).select("_row", "_found")), "placed")
+    spans = one.where("kind is not null").select("_row", "kind", "s", "e", F.lit(True).alias("sure")).unionByName(discovered(one).withColumn("sure", F.lit(False)))
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    ordered = F.array_sort(F.collect_list(F.struct(rank.alias("k"), "s", "e", "kind", "sure")))
+    rows = spans.groupBy("_row").agg(ordered.alias("_spans"))
+    none = F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")
+
+    def plain(items: Column) -> Column:
+        return F.coalesce(F.transform(items, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))), none)
+
+    out = found.drop("_found").join(rows, "_row", "left")
+    return out.select(*columns, plain(F.filter("_spans", lambda x: x["sure"])).alias("base"), plain(F.col("_spans")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
