@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +45,21 @@ def weighted_average(posts: DataFrame, vectors: DataFrame, weights: DataFrame) -
 
 
 def principal_direction(vectors: DataFrame) -> np.ndarray:
-    """The first right singular vector of the rows, not centred; d numbers come to the driver."""
-    rows = vectors.select(array_to_vector("embedding").alias("v")).rdd.map(lambda r: Vectors.dense(r.v.toArray()))
-    return RowMatrix(rows).computeSVD(1).V.toArray()[:, 0]
+    """The first right singular vector of the rows, not centred: top eigenvector of the sum of outer products, d * d numbers."""
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            column = batch.column("embedding").drop_null()
+            if len(column):
+                x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+                total = total + x.T @ x
+        if not np.isscalar(total):
+            yield pa.record_batch({"i": pa.array(np.arange(total.size)), "g": pa.array(total.ravel())})
+
+    cells = vectors.select("embedding").mapInArrow(gram, "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).orderBy("i").toPandas()
+    d = int(len(cells) ** 0.5)
+    return np.linalg.eigh(cells["g"].to_numpy().reshape(d, d))[1][:, -1]
 
 
 def without_direction(vectors: DataFrame, direction: np.ndarray) -> DataFrame:

@@ -47,32 +47,34 @@ def rank_graph(posts: DataFrame, tags: DataFrame, is_weighted: bool = True, pers
     return arcs, nodes.crossJoin(F.broadcast(total)).select("node", (F.col("q") / F.col("total")).alias("p"), "n")
 
 
-def rank_step(arcs: DataFrame, nodes: DataFrame, state: DataFrame, alpha: float) -> DataFrame:
-    """One step. Mass on nodes without arcs goes back by p."""
-    flow = arcs.join(state, arcs["src"] == state["node"]).groupBy("dst").agg(F.sum(F.col("w") * F.col("x")).alias("f"))
-    moved = nodes.join(flow, nodes["node"] == flow["dst"], "left").select("node", "p", "n", (alpha * F.coalesce("f", F.lit(0.0))).alias("y"))
-    held = arcs.select(F.col("src").alias("node")).distinct()
-    lost = state.join(held, "node", "left_anti").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("lost"))
-    return moved.crossJoin(F.broadcast(lost)).select("node", "p", "n", (F.col("y") + (alpha * F.col("lost") + 1 - alpha) * F.col("p")).alias("x"))
+def rank_step(arcs: DataFrame, state: DataFrame, alpha: float, dangling: DataFrame | None) -> DataFrame:
+    """One step: state (node, p, n, x) with x moved along the arcs and x0 what it was. Mass on nodes without arcs goes back by p."""
+    flow = arcs.join(state.select(F.col("node").alias("src"), "x"), "src").groupBy("dst").agg(F.sum(F.col("w") * F.col("x")).alias("f"))
+    moved = state.select("node", "p", "n", F.col("x").alias("x0")).join(flow.withColumnRenamed("dst", "node"), "node", "left")
+    back = F.lit(1 - alpha)
+    if dangling is not None:
+        lost = state.join(dangling, "node", "left_semi").agg(F.sum("x").alias("lost"))
+        moved, back = moved.crossJoin(F.broadcast(lost)), alpha * F.coalesce("lost", F.lit(0.0)) + 1 - alpha
+    return moved.select("node", "p", "n", "x0", (alpha * F.coalesce("f", F.lit(0.0)) + back * F.col("p")).alias("x"))
 
 
 def pagerank(arcs: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, most: int = 100, steps: int | None = None) -> DataFrame:
     """(node, x). Uniform start; stops when the L1 change is below n * tolerance, or after exactly `steps`."""
-    arcs, nodes = saved(arcs, "arcs"), saved(nodes, "nodes")
-    state = nodes.select("node", (F.lit(1.0) / F.col("n")).alias("x"))
+    arcs = saved(arcs, "arcs")
+    state = saved(nodes.withColumn("x", 1.0 / F.col("n")), "nodes")
+    alone = state.select("node").join(arcs.select(F.col("src").alias("node")), "node", "left_anti")
+    dangling = saved(alone, "dangling") if alone.limit(1).count() else None
     for i in range(steps or most):
-        after = rank_step(arcs, nodes, state, alpha)
+        state = rank_step(arcs, state, alpha, dangling)
         if steps is None or (i + 1) % EVERY == 0:
-            after = saved(after, "rank")
+            state = saved(state, "rank")
         if steps is None:
-            change = after.join(state.withColumnRenamed("x", "x0"), "node").agg(F.sum(F.abs(F.col("x") - F.col("x0"))).alias("d"), F.max("n").alias("n")).first()
-            state = after.select("node", "x")
+            change = state.agg(F.sum(F.abs(F.col("x") - F.col("x0"))).alias("d"), F.max("n").alias("n")).first()
             if change["n"] is None or change["d"] < change["n"] * tolerance:
-                return state
-        state = after.select("node", "x")
+                return state.select("node", "x")
     if steps is None:
         raise RuntimeError(f"no convergence in {most} steps")
-    return state
+    return state.select("node", "x")
 
 
 def tripartite(posts: DataFrame) -> DataFrame:
