@@ -10,11 +10,10 @@ from tagweave.functions import metrics as M
 
 def grid(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
     """The product of hyper-parameter lists."""
-    out = None
+    out = spark.range(0, 1, 1, 1)
     for name, values in lists.items():
-        one = spark.createDataFrame([(v,) for v in values], [name])
-        out = one if out is None else out.crossJoin(one)
-    return out
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) if not isinstance(v, int) else F.lit(v).cast("long") for v in values])))
+    return out.drop("id")
 
 
 def commonest(posts: DataFrame, k: int = 5) -> DataFrame:
