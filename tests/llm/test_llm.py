@@ -297,7 +297,8 @@ def test_pii_discovers_by_context(spark):
     odd = [(50, "please reach me at mailbox someone(at)host7 thanks a lot"), (51, "chapter 7 of the book")]
     df = spark.createDataFrame(seeds + odd, "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(df)).collect()}
-    assert got[50] == "email:27:42" and got[51] == ""
+    at = odd[0][1].index("someone")
+    assert got[50] == f"email:{at}:{at + len('someone(at)host7')}" and got[51] == ""
 
 
 def test_mixing(spark, docs):
