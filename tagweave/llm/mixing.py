@@ -190,7 +190,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int =
     cut = where.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), last)))
     cut = cut.withColumn("low", F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0)))
     cut = cut.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)))
-    met = cut.join(drawn, ["source_index", "block"])
+    met = cut.join(drawn.hint("merge"), ["source_index", "block"])  # its size is not known before it runs
     words = F.col("times") * (F.col("high") - F.col("low")) + F.greatest(F.least("high", "part") - F.col("low"), F.lit(0))
     taken = met.groupBy("source_index", "start").agg(F.sum(words).alias("words_taken")).withColumn("some", F.lit(True))
     out = where.withColumn("some", F.col("size") > 0).join(taken, ["source_index", "start", "some"], "left")
