@@ -85,9 +85,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, steps: int = 150) -> dict:
-    """labelled (doc_id, text, lang) -> languages, codewords and weights. Learns from per_language rows a language."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    some = labelled.where("lang is not null and text is not null").withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_language)
+    """labelled (doc_id, text, lang) -> languages, codewords and weights. Learns from per_language rows a language.
+
+    The ids of the sample are broadcast: per_language at most for each language.
+    """
+    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    few = labelled.where("lang is not null and doc_id is not null").select("lang", "doc_id").withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_language)
+    some = labelled.where("text is not null").join(F.broadcast(few.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
     rows = some.select("lang", "text").mapInArrow(_features, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     langs = sorted({r["lang"] for r in rows})
