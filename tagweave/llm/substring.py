@@ -154,48 +154,71 @@ def minimizers(word: np.ndarray, window: int, gram: int = GRAM) -> np.ndarray:
 _SENT = "g int, b long, sid int, text binary, times int, ord long, start int, keys array<long>, occ binary"
 
 
-def first_places(table: pa.Table, window: int = WINDOW) -> tuple[list[np.ndarray], list[int], list[np.ndarray], list[np.ndarray]]:
-    """A shard's stretches (text, ord, start): each one's windows, and the earliest place of each window, by automaton."""
+def first_places(table: pa.Table, window: int = WINDOW) -> tuple[list[bytes | None], list[list[int]]]:
+    """A shard's stretches (text, times, ord, start): for each distinct one the rows that have it and, in runs, where its windows occur first.
+
+    A stretch none of whose windows stands anywhere else in the shard's distinct stretches is one pattern as a whole;
+    of the others, each recurring window is one.
+    """
     import ahocorasick
 
     texts = table.column("text").combine_chunks()
     texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
     data, off = text_bytes(texts.cast(pa.binary()))
     starts, ends, upto = words(data, off)
-    hashes = span_hashes(data, starts, ends)
-    names = np.unique(hashes, return_inverse=True)[1]
-    order, place = table.column("ord").to_numpy(), table.column("start").to_numpy().astype(np.int64)
+    names = np.unique(span_hashes(data, starts, ends), return_inverse=True)[1].astype(np.int32)
+    order, place, times = table.column("ord").to_pylist(), table.column("start").to_pylist(), table.column("times").to_numpy()
     stretch: dict[bytes, list[int]] = {}
+    raw, cut = names.tobytes(), (upto * 4).tolist()
     for i in range(len(order)):
-        stretch.setdefault(names[upto[i] : upto[i + 1]].astype(np.int32).tobytes(), []).append(i)
+        stretch.setdefault(raw[cut[i] : cut[i + 1]], []).append(i)
     line = [np.frombuffer(k, np.int32) for k in stretch]
     rows = list(stretch.values())
-    early = [min((int(order[i]), int(place[i])) for i in r) for r in rows]
-    flat = np.concatenate(line)
+    early = [min((order[i], place[i]) for i in r) for r in rows]
     bound = np.concatenate([[0], np.cumsum([len(x) for x in line])])
+    flat = np.concatenate(line)
     first, owner = within(bound, window)
     key = window_hashes(mix(flat.astype(_U) + _U(1)), window)[first]
     seen, begin, run = runs(key)
-    times = table.column("times").to_numpy()
+    places = np.diff(np.append(begin, len(seen)))
     several = np.array([times[r].sum() for r in rows], np.int64)
-    met = np.add.reduceat(several[owner[seen]], begin) if len(seen) else np.zeros(0, np.int64)
+    shared = np.zeros(len(line), bool)
+    shared[owner[seen[np.repeat(places > 1, places)]]] = True
+    whole = np.flatnonzero(~shared & (several > 1))
+    again = np.add.reduceat(several[owner[seen]], begin) > 1
+    single = seen[begin[again & shared[owner[seen[begin]]]]]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    patterns = 0
-    for w in seen[begin[met > 1]].tolist():
-        patterns += automaton.add_word(tuple(flat[first[w] : first[w] + window].tolist()), patterns)
-    best_ord, best_at = np.full(patterns, LAST, np.int64), np.zeros(patterns, np.int64)
-    hits: list[np.ndarray] = []
-    if patterns:
-        automaton.make_automaton()
-        for x, (o, at) in zip(line, early, strict=True):
-            got = np.array([(end - window + 1, p) for end, p in automaton.iter(tuple(x.tolist()))], np.int64).reshape(-1, 2)
-            hits.append(got)
-            p, where = got[:, 1], at + got[:, 0]
-            better = (o < best_ord[p]) | (o == best_ord[p]) & (where < best_at[p])
-            for j in np.flatnonzero(better).tolist():  # a window can recur within the stretch: the first place stays
-                if o < best_ord[p[j]] or o == best_ord[p[j]] and where[j] < best_at[p[j]]:
-                    best_ord[p[j]], best_at[p[j]] = o, where[j]
-    return hits, rows, best_ord, best_at
+    for x in whole.tolist():
+        automaton.add_word(tuple(line[x].tolist()), x)
+    base = len(line)
+    for n, w in enumerate(single.tolist()):
+        automaton.add_word(tuple(flat[first[w] : first[w] + window].tolist()), base + n)
+    found: list[bytes | None] = [None] * base
+    if not len(automaton):
+        return found, rows
+    automaton.make_automaton()
+    best = [(LAST, 0)] * len(single)
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for x in np.flatnonzero(shared | (several > 1)).tolist():
+        o, at = early[x]
+        own = []
+        for end, p in automaton.iter(tuple(line[x].tolist())):
+            if p < base:
+                found[p] = np.array([0, len(line[p]) - window + 1, *early[p]], np.int64).tobytes()
+            else:
+                j = end - window + 1
+                own.append((j, p - base))
+                if (o, at + j) < best[p - base]:
+                    best[p - base] = (o, at + j)
+        if own:
+            hits[x] = own
+    for x, own in hits.items():
+        j, p = np.array(own, np.int64).T
+        o, at = np.array([best[i] for i in p.tolist()], np.int64).T
+        shift = at - j
+        head = np.flatnonzero((np.diff(j, prepend=-9) != 1) | (np.diff(o, prepend=-1) != 0) | (np.diff(shift, prepend=LAST) != 0))
+        found[x] = np.stack([j[head], np.diff(np.append(head, len(j))), o[head], at[head]]).tobytes()
+    return found, rows
 
 
 def removals(texts: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
@@ -247,17 +270,9 @@ def removals(texts: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
         head, body = table.filter(is_head), table.filter(pa.compute.invert(is_head))
         out = [head.select(["b", "keys", "occ"]).append_column("sid", pa.nulls(len(head), pa.int32())).append_column("found", pa.nulls(len(head), pa.binary()))]
         if len(body):
-            hits, rows, best_ord, best_at = first_places(body, window)
-            batch, sid = body.column("b").to_numpy(), body.column("sid").to_numpy()
-            made = []
-            for got, own in zip(hits, rows, strict=True):
-                if not len(got):
-                    continue
-                j, p = got[:, 0], got[:, 1]
-                o, shift = best_ord[p], best_at[p] - j
-                cut = np.flatnonzero((np.diff(j, prepend=-9) != 1) | (np.diff(o, prepend=-1) != 0) | (np.diff(shift, prepend=LAST) != 0))
-                raw = np.stack([j[cut], np.diff(np.append(cut, len(j))), o[cut], best_at[p][cut]]).tobytes()
-                made += [(int(batch[i]), int(sid[i]), raw) for i in own]
+            found, rows = first_places(body, window)
+            batch, sid = body.column("b").to_pylist(), body.column("sid").to_pylist()
+            made = [(batch[i], sid[i], raw) for raw, own in zip(found, rows, strict=True) if raw for i in own]
             if made:
                 bs, ss, raws = zip(*made, strict=True)
                 out.append(pa.table({"b": pa.array(bs, pa.int64()), "keys": pa.nulls(len(bs), pa.list_(pa.int64())), "occ": pa.nulls(len(bs), pa.binary()), "sid": pa.array(ss, pa.int32()), "found": pa.array(raws, pa.binary())}))
