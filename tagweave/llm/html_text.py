@@ -28,6 +28,7 @@ from tagweave.llm._bytes import span_hashes, text_bytes, words
 from tagweave.llm._store import written
 
 RUN, PAGES, SHARD_PAGES, DEPTH = 8, 3, 2000, 32
+MOST_BIG_HOSTS = 1_000_000
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>?|<[!?][^>]*+>?", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|style|aria-hidden|hidden)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
@@ -157,34 +158,50 @@ def shared_runs(tokens: np.ndarray, page: np.ndarray, run: int = RUN, pages: int
     return np.cumsum(mark[:-1]) > 0
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """All blocks of a batch's pages, their bytes and offsets, each page's first block, and keys of the undeclared ones."""
+    blocks = [page_blocks(x) if x else [] for x in batch.column("html").to_pylist()]
+    flat = pa.array([t for b in blocks for t, _ in b], pa.string())
+    data, off = text_bytes(flat)
+    edge = np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype(np.int32)
+    declared = np.array([d for b in blocks for _, d in b], bool)
+    return flat, data, off, edge, pa.array(span_hashes(data, off[:-1], off[1:]).view(np.int64), mask=declared)
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 200):
-            batch = whole.slice(at, 200)
-            blocks = [page_blocks(x) if x else [] for x in batch.column("html").to_pylist()]
-            texts = [[t for t, _ in b] for b in blocks]
-            flat = pa.array([t for b in texts for t in b], pa.string())
-            data, off = text_bytes(flat)
-            hashes = span_hashes(data, off[:-1], off[1:]).view(np.int64)
-            starts, ends, upto = words(data, off)
-            token = span_hashes(data, starts, ends).astype(np.uint32)
-            edge = np.concatenate([[0], np.cumsum([len(b) for b in texts])]).astype(np.int32)
-            yield pa.record_batch({
-                "_row": batch.column("_row"), "page_id": batch.column("page_id"), "url": batch.column("url"), "_host": batch.column("_host"),
-                "_blocks": pa.ListArray.from_arrays(pa.array(edge), flat), "_keys": pa.ListArray.from_arrays(pa.array(edge), pa.array(hashes)),
-                "_open": pa.array([[not d for _, d in b] for b in blocks], pa.list_(pa.bool_())),
-                "_tokens": pa.array([token[upto[a] : upto[b]].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
-                "_sizes": pa.array([np.diff(upto[a : b + 1]).tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.list_(pa.int32())),
-            })
+            yield whole.slice(at, 200)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _few(batches):
+        flat, _, _, edge, keys = _cut(batch)
+        made = {"_blocks": pa.ListArray.from_arrays(pa.array(edge), flat), "_keys": pa.ListArray.from_arrays(pa.array(edge), keys)}
+        yield pa.record_batch({c: batch.column(c) for c in ("_row", "page_id", "url", "_host")} | made)
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's word hashes (three bytes a word), with how many words each block has."""
+    for batch in _few(batches):
+        _, data, off, edge, keys = _cut(batch)
+        starts, ends, upto = words(data, off)
+        token = span_hashes(data, starts, ends).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        size = np.diff(upto)
+        made = {
+            "_keys": pa.ListArray.from_arrays(pa.array(edge), keys), "_tokens": pa.array([token[upto[a] : upto[b]].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
+            "_sizes": pa.array([size[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.list_(pa.int32())),
+        }
+        yield pa.record_batch({c: batch.column(c) for c in ("_host", "_shard")} | made)
 
 
 def _boilerplate(table: pa.Table) -> pa.Table:
     """Keys of one shard's undeclared blocks that its pages share."""
-    sizes, keys, undeclared = (table.column(c).to_pylist() for c in ("_sizes", "_keys", "_open"))
+    sizes, keys = (table.column(c).to_pylist() for c in ("_sizes", "_keys"))
     tokens, page, block, n_block = [], [], [], 0
     flat_keys, flat_open, flat_size, flat_page = [], [], [], []
     for p, raw in enumerate(table.column("_tokens").to_pylist()):
-        own = np.frombuffer(raw, np.uint32).astype(np.int64)
+        own = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
         size = np.array(sizes[p], np.int64)
         cut = np.cumsum(size)
         number = n_block + np.arange(len(size))
@@ -192,8 +209,8 @@ def _boilerplate(table: pa.Table) -> pa.Table:
         block.append(np.repeat(number, size + 1))
         page.append(np.full(len(own) + len(size), p))
         n_block += len(size)
-        flat_keys += keys[p]
-        flat_open += undeclared[p]
+        flat_keys += [k or 0 for k in keys[p]]
+        flat_open += [k is not None for k in keys[p]]
         flat_size.append(size)
         flat_page.append(np.full(len(size), p))
     host = table.column("_host")[0].as_py()
@@ -203,10 +220,11 @@ def _boilerplate(table: pa.Table) -> pa.Table:
     covered = shared_runs(stream, np.concatenate(page))
     size, key, where = np.concatenate(flat_size), np.array(flat_keys, np.int64), np.concatenate(flat_page)
     gone = (np.bincount(of[covered & (stream < 1 << 32)], minlength=n_block) == size) & (size >= RUN)
+    undeclared = np.array(flat_open, bool)
     names, back = np.unique(key, return_inverse=True)
-    both = np.unique(back.astype(np.int64) * len(sizes) + where)
+    both = np.unique(back[undeclared].astype(np.int64) * len(sizes) + where[undeclared])
     gone |= (size < RUN) & (np.bincount(both // len(sizes), minlength=len(names))[back] >= PAGES)
-    out = np.unique(key[gone & np.array(flat_open, bool)])
+    out = np.unique(key[gone & undeclared])
     return pa.table({"_host": pa.array([host] * len(out), pa.string()), "_key": pa.array(out)})
 
 
@@ -215,14 +233,19 @@ def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("_host"), F.monotonically_increasing_id().alias("_row"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = f"_row long, page_id {kinds['page_id']}, url string, _host string, _blocks array<string>, _keys array<long>, _open array<boolean>, _tokens binary, _sizes array<int>"
-    parsed = written(rows.mapInArrow(_parsed, schema), "pages")
-    shards = parsed.groupBy("_host").agg(F.ceil(F.count("*") / shard_pages).alias("_n"))
-    streams = parsed.select("_host", "_row", "_tokens", "_sizes", "_keys", "_open").join(shards, "_host").withColumn("_shard", F.pmod(F.xxhash64("_row"), "_n")).drop("_row", "_n")
-    found = streams.groupBy("_host", "_shard").applyInArrow(_boilerplate, "_host string, _key long").distinct()
-    judged = parsed.select("_host", "_row", F.explode(F.array_distinct(F.filter(F.transform(F.arrays_zip("_keys", "_open"), lambda x: F.when(x["_open"], x["_keys"])), lambda x: x.isNotNull()))).alias("_key"))
-    gone = judged.join(found, ["_host", "_key"]).groupBy("_row").agg(F.collect_set("_key").alias("_gone"))
-    out = parsed.join(gone, "_row", "left")
-    kept = F.filter(F.arrays_zip("_blocks", "_keys", "_open"), lambda x: ~x["_open"] | ~F.coalesce(F.array_contains("_gone", x["_keys"]), F.lit(False)))
-    out = out.withColumn("text", F.array_join(F.transform(kept, lambda x: x["_blocks"]), "\n\n"))
+    big = rows.groupBy("_host").agg(F.ceil(F.count("*") / shard_pages).alias("_n")).where("_n > 1")
+    if big.count() <= MOST_BIG_HOSTS:  # at most one in shard_pages of the rows
+        big = F.broadcast(big)
+    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_n", F.lit(1)).cast("long"))
+    streams = rows.join(big, "_host", "left").select("_host", shard.alias("_shard"), "html").mapInArrow(_streams, "_host string, _shard long, _keys array<long>, _tokens binary, _sizes array<int>")
+    found = written(streams.groupBy("_host", "_shard").applyInArrow(_boilerplate, "_host string, _key long").distinct(), "boilerplate")
+    schema = f"_row long, page_id {kinds['page_id']}, url string, _host string, _blocks array<string>, _keys array<long>"
+    parsed = rows.mapInArrow(_parsed, schema)
+    some = F.exists("_keys", lambda x: x.isNotNull())
+    sure = parsed.where(~some).select("page_id", "url", F.array_join("_blocks", "\n\n").alias("text"))
+    one = parsed.where(some).select("_row", "page_id", "url", "_host", F.posexplode(F.arrays_zip("_blocks", "_keys")).alias("_pos", "_b")).select("_row", "page_id", "url", "_host", "_pos", F.col("_b._blocks").alias("_block"), F.col("_b._keys").alias("_key"))
+    one = one.join(found.withColumn("_gone", F.lit(True)), ["_host", "_key"], "left")
+    kept = F.collect_list(F.when(F.col("_gone").isNull(), F.struct("_pos", "_block")))
+    unsure = one.groupBy("_row", "page_id", "url").agg(F.array_sort(kept).alias("_k")).select("page_id", "url", F.array_join(F.transform("_k", lambda x: x["_block"]), "\n\n").alias("text"))
+    out = sure.unionByName(unsure)
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
