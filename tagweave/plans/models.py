@@ -261,7 +261,7 @@ _CLUSTER = _NN.replace("WITH pt", "WITH RECURSIVE pt").rstrip() + ", cp AS (SELE
 
 
 def _points(s, d):
-    return table(s, d, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 @q("knn_l1", sql("emb", _NN + "SELECT a, rank, b, round(d, 6) AS d FROM nn"))
@@ -306,7 +306,7 @@ def _rec(body: str) -> str:
 
 
 def _tags(s, d):
-    return V.events(s, d).where("id < 500").select("id", F.posexplode("hashtags").alias("pos", "hashtag"))
+    return V.events(s, d).select("id", F.posexplode("hashtags").alias("pos", "hashtag"))
 
 
 @q("cluster_medoid", _rec(_MEDOID + "SELECT cluster, id FROM md"))

@@ -80,7 +80,7 @@ def _(s, d):
 
 @q("drop_null_embedding", sql("ev", "SELECT id FROM ev LEFT JOIN embeddings ON vec_id = id % 700 AND vec_id < 500 WHERE embedding IS NOT NULL"))
 def _(s, d):
-    v = table(s, d, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
+    v = table(s, d, "embeddings").select("vec_id", "embedding")
     return V.events(s, d).join(v, F.col("vec_id") == F.col("id") % 700, "left").na.drop(subset=["embedding"]).select("id")
 
 
