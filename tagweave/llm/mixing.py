@@ -17,11 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagweave.llm._bytes import mix as scramble
+from tagweave.llm._bytes import pieces, text_bytes, words
 from tagweave.llm._store import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +32,7 @@ WEIGHTS = (1, 2, 3)
 BLOCK_WORDS = 64
 SHARD_SLOTS = 65_536
 BUCKET_ROWS = 20_000
+CUT_BYTES = 1 << 22
 MOST_REPEATS = 3
 MOST_SOURCES = 1_000_000
 SEED = 20_011
@@ -174,9 +178,11 @@ def placed(sized: DataFrame, targets: DataFrame, rows: int) -> DataFrame:
     return one.select("doc_id", "source_index", "size", "source_size", "target", (F.col("bucket_start") + F.col("start")).alias("start"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, seed: int = SEED, drawn_words: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source_index), a row for each row of docs (doc_id, source, text).
 
+    With drawn_words also copies, how often all of the row's words are drawn, and drawn, the ranges (low, high) of its
+    words that are drawn once more. A block comes once an epoch, so only the last epoch leaves ranges.
     The table of sources is broadcast: it is checked to hold at most MOST_SOURCES rows.
     """
     spark = docs.sparkSession
@@ -191,23 +197,54 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block_words: int =
     cut = cut.withColumn("low", F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0)))
     cut = cut.withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words)))
     met = cut.join(drawn.hint("merge"), ["source_index", "block"])  # its size is not known before it runs
-    words = F.col("times") * (F.col("high") - F.col("low")) + F.greatest(F.least("high", "part") - F.col("low"), F.lit(0))
-    taken = met.groupBy("source_index", "start").agg(F.sum(words).alias("words_taken")).withColumn("some", F.lit(True))
+    some_words = F.col("times") * (F.col("high") - F.col("low")) + F.greatest(F.least("high", "part") - F.col("low"), F.lit(0))
+    sums = [F.sum(some_words).alias("words_taken")]
+    if drawn_words:
+        at = F.col("block") * block_words - F.col("start")
+        sums += [F.sum(F.col("high") - F.col("low")).alias("met"), F.min("times").alias("least")]
+        sums += [F.array_sort(F.collect_list(F.struct((at + F.col("low")).alias("low"), (at + F.col("high")).alias("high"), (at + F.least("high", "part")).alias("part"), "times"))).alias("blocks")]
+    taken = met.groupBy("source_index", "start").agg(*sums).withColumn("some", F.lit(True))
     out = where.withColumn("some", F.col("size") > 0).join(taken, ["source_index", "start", "some"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("words_taken", F.lit(0)).cast("long").alias("taken"), "source_index")
+    names = ["doc_id", "size", "source_size", "target", F.coalesce("words_taken", F.lit(0)).cast("long").alias("taken"), "source_index"]
+    if drawn_words:
+        out = out.withColumn("copies", F.expr("if(met = size, least, 0L)"))
+        ranges = "filter(transform(blocks, b -> named_struct('low', b.low, 'high', if(b.times > copies, b.high, b.part))), r -> r.high > r.low)"
+        names += [F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), F.expr(f"cast({ranges} as array<struct<low: long, high: long>>)").alias("drawn")]
+    return out.select(*names)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with each text that has ranges cut to them. A word keeps the space before it; a gap adds a line end."""
+    for batch in pieces(batches, "text", CUT_BYTES):
+        ranges, text = batch.column("_drawn"), batch.column("text")
+        data, off = text_bytes(text.filter(ranges.is_valid()))
+        _, ends, upto = words(data, off)
+        made = []
+        for i, own in enumerate(ranges.drop_null().to_pylist()):
+            stop, runs = ends[upto[i] : upto[i + 1]], []
+            for r in own:
+                if runs and runs[-1][1] == r["low"]:
+                    runs[-1][1] = r["high"]
+                else:
+                    runs.append([r["low"], r["high"]])
+            made.append("\n".join(data[stop[low - 1] if low else off[i] : stop[high - 1]].tobytes().decode() for low, high in runs))
+        cut = pc.replace_with_mask(text, ranges.is_valid(), pa.array(made, text.type))
+        names = [c for c in batch.schema.names if c != "_drawn"]
+        yield pa.record_batch([cut if c == "text" else batch.column(c) for c in names], names)
 
 
 def take_mixed(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them: whole copies, then the first words of what is left over.
+    """The rows of docs as often as the mix takes them: whole copies, then the words that it draws once more.
 
+    Those are the ranges of mix(drawn_words=True). A mix without them says only how many, and they are the first ones.
     doc_id must tell rows apart here; rows that share one share its takings in no set order.
     """
-    much = mixed.where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
+    if "drawn" not in mixed.columns:
+        head = F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.col("taken") % F.col("size")).alias("high")))
+        mixed = mixed.withColumn("copies", F.floor(F.col("taken") / F.col("size"))).withColumn("drawn", F.filter(head, lambda r: r["high"] > 0))
+    much = mixed.where("taken > 0").groupBy("doc_id").agg(F.max_by(F.struct("copies", "drawn"), "taken").alias("_much"))
     rows = docs.join(much, docs["doc_id"].eqNullSafe(much["doc_id"])).drop(much["doc_id"])
-    copies = F.floor(F.col("_taken") / F.col("_size")).cast("int")
-    head = (F.col("_taken") % F.col("_size")).cast("int")
-    rows = rows.withColumn("_head", head).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies)))
-    rows = rows.where((F.col("_copy") < copies) | (F.col("_head") > 0))
-    part = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*+[^\\x20\\x09-\\x0D]++){', _head, '}+'), 0)")
-    text = F.when(F.col("_copy") < copies, F.col("text")).otherwise(part)
-    return rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    whole = F.array_repeat(F.lit(None).cast(mixed.schema["drawn"].dataType), F.col("_much.copies").cast("int"))
+    once = F.filter(F.array("_much.drawn"), lambda r: F.size(r) > 0)
+    rows = rows.select(*docs.columns, F.explode(F.concat(whole, once)).alias("_drawn"))
+    return rows.mapInArrow(_cut, docs.schema).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
