@@ -5,8 +5,8 @@ whose class or id names an advert, notice, menu, comment list and the like are l
 main element is text. Blocks that are neither are judged by their host: the token streams of its pages are put end to
 end, with a token of its own between blocks, and sorted into a suffix array; runs of RUN tokens and more that at least
 PAGES distinct pages share are boilerplate, and so is an undeclared block that such runs cover (or, if shorter, that
-recurs whole on as many pages). A host with many pages is cut into shards by page; what one shard finds holds for the
-whole host. Unique runs stay.
+recurs whole on as many pages). A host with many pages is cut into shards by page: each counts the pages of its runs and
+blocks by hash, the counts are summed over the host, and the sums decide. Unique runs stay.
 
 Defined cases: null or empty html gives an empty text; an unclosed element ends with its page or at the next article;
 null urls share one host; rows repeat, null ids and clashing extra columns are carried along or not read; an empty
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm._bytes import span_hashes, text_bytes, words
-from tagweave.llm._store import written
+from tagweave.llm._bytes import span_hashes, text_bytes, window_hashes, words
+from tagweave.llm._store import drop_written, written
 
 RUN, PAGES, SHARD_PAGES, DEPTH = 8, 3, 2000, 32
 MOST_BIG_HOSTS = 1_000_000
@@ -195,8 +195,34 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({c: batch.column(c) for c in ("_host", "_shard")} | made)
 
 
+_FOUND = "_host string, _key long, _pages long, _open boolean, _size int, _runs array<long>"
+
+
+def _found(host: str, key: np.ndarray, pages: np.ndarray | None = None, open_: np.ndarray | None = None, size: np.ndarray | None = None, runs: list | None = None) -> pa.Table:
+    n, kinds = len(key), [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64())]
+    columns = [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in zip(([host] * n, key, pages, open_, size, runs), kinds, strict=True)]
+    return pa.table(columns, [c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _counted(host: str, stream: np.ndarray, of: np.ndarray, page: np.ndarray, key: np.ndarray, size: np.ndarray, where: np.ndarray, undeclared: np.ndarray) -> pa.Table:
+    """One shard's runs with their pages, and its undeclared blocks with theirs and the hashes of their runs in order."""
+    hashed = window_hashes(stream.astype(np.uint64), RUN).view(np.int64)
+    token = stream < 1 << 32
+    first = np.flatnonzero(token[: len(hashed)] & token[RUN - 1 :] & (of[: len(hashed)] == of[RUN - 1 :])) if len(hashed) else np.zeros(0, np.int64)
+    name, back = np.unique(hashed[first], return_inverse=True)
+    pages = int(where.max()) + 1
+    count = np.bincount(np.unique(back.astype(np.int64) * pages + page[first]) // pages, minlength=len(name))
+    seen = np.bincount(back, weights=undeclared[of[first]], minlength=len(name)) > 0
+    at = np.flatnonzero(undeclared)
+    own, one, back = np.unique(key[at], return_index=True, return_inverse=True)
+    often = np.bincount(np.unique(back.astype(np.int64) * pages + where[at]) // pages, minlength=len(own))
+    start = np.cumsum(size + 1) - size - 1
+    runs = [hashed[start[i] : start[i] + max(0, size[i] - RUN + 1)].tolist() for i in at[one]]
+    return pa.concat_tables([_found(host, name, count, seen), _found(host, own, often, None, size[at[one]], runs)])
+
+
 def _boilerplate(table: pa.Table) -> pa.Table:
-    """Keys of one shard's undeclared blocks that its pages share."""
+    """Keys of one host's undeclared blocks that its pages share; of a shard of a host the counts."""
     sizes, keys = (table.column(c).to_pylist() for c in ("_sizes", "_keys"))
     tokens, page, block, n_block = [], [], [], 0
     flat_keys, flat_open, flat_size, flat_page = [], [], [], []
@@ -215,17 +241,29 @@ def _boilerplate(table: pa.Table) -> pa.Table:
         flat_page.append(np.full(len(size), p))
     host = table.column("_host")[0].as_py()
     if not n_block:
-        return pa.table({"_host": pa.array([], pa.string()), "_key": pa.array([], pa.int64())})
+        return _found(host, np.zeros(0, np.int64))
     stream, of = np.concatenate(tokens), np.concatenate(block)
-    covered = shared_runs(stream, np.concatenate(page))
     size, key, where = np.concatenate(flat_size), np.array(flat_keys, np.int64), np.concatenate(flat_page)
+    if table.column("_shard")[0].as_py() >= 0:
+        return _counted(host, stream, of, np.concatenate(page), key, size, where, np.array(flat_open, bool))
+    covered = shared_runs(stream, np.concatenate(page))
     gone = (np.bincount(of[covered & (stream < 1 << 32)], minlength=n_block) == size) & (size >= RUN)
     undeclared = np.array(flat_open, bool)
     names, back = np.unique(key, return_inverse=True)
     both = np.unique(back[undeclared].astype(np.int64) * len(sizes) + where[undeclared])
     gone |= (size < RUN) & (np.bincount(both // len(sizes), minlength=len(names))[back] >= PAGES)
-    out = np.unique(key[gone & undeclared])
-    return pa.table({"_host": pa.array([host] * len(out), pa.string()), "_key": pa.array(out)})
+    return _found(host, np.unique(key[gone & undeclared]))
+
+
+def _summed(counted: DataFrame) -> DataFrame:
+    """(_host, _key): blocks that shared runs cover, or shorter ones on enough pages, by the sums over a host's shards."""
+    runs = counted.where("_size is null").groupBy("_host", F.col("_key").alias("_run")).agg(F.sum("_pages").alias("n"), F.max("_open").alias("o")).where((F.col("n") >= PAGES) & F.col("o")).select("_host", "_run")
+    blocks = counted.where("_size is not null").groupBy("_host", "_key").agg(F.sum("_pages").alias("n"), F.first("_size").alias("_size"), F.first("_runs").alias("_runs"))
+    short = blocks.where((F.col("_size") < RUN) & (F.col("n") >= PAGES)).select("_host", "_key")
+    each = blocks.where(F.col("_size") >= RUN).select("_host", "_key", "_size", F.posexplode("_runs").alias("_pos", "_run"))
+    hit = each.join(runs, ["_host", "_run"]).groupBy("_host", "_key", "_size").agg(F.array_sort(F.collect_list("_pos")).alias("p"))
+    whole = f"p[0] = 0 and element_at(p, -1) = _size - {RUN} and forall(transform(p, (x, i) -> x - if(i = 0, x, p[i - 1])), g -> g <= {RUN})"
+    return short.unionByName(hit.where(whole).select("_host", "_key"))
 
 
 def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
@@ -236,9 +274,11 @@ def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     big = rows.groupBy("_host").agg(F.ceil(F.count("*") / shard_pages).alias("_n")).where("_n > 1")
     if big.count() <= MOST_BIG_HOSTS:  # at most one in shard_pages of the rows
         big = F.broadcast(big)
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_n", F.lit(1)).cast("long"))
+    shard = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("_n").cast("long")), F.lit(-1).cast("long"))
     streams = rows.join(big, "_host", "left").select("_host", shard.alias("_shard"), "html").mapInArrow(_streams, "_host string, _shard long, _keys array<long>, _tokens binary, _sizes array<int>")
-    found = written(streams.groupBy("_host", "_shard").applyInArrow(_boilerplate, "_host string, _key long").distinct(), "boilerplate")
+    judged = written(streams.groupBy("_host", "_shard").applyInArrow(_boilerplate, _FOUND), "judged")
+    found = written(judged.where("_pages is null").select("_host", "_key").unionByName(_summed(judged.where("_pages is not null"))), "boilerplate")
+    drop_written(judged)
     schema = f"_row long, page_id {kinds['page_id']}, url string, _host string, _blocks array<string>, _keys array<long>"
     parsed = rows.mapInArrow(_parsed, schema)
     some = F.exists("_keys", lambda x: x.isNotNull())

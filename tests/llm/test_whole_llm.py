@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from tagweave.llm import mixing
+from tagweave.llm import html_text, mixing
 
 
 def test_pipeline_takes_the_words_that_the_mix_drew(spark):
@@ -28,3 +28,21 @@ def test_pipeline_takes_the_words_that_the_mix_drew(spark):
     assert any(not texts[r["doc_id"]].startswith(r["text"]) for r in cut)
     for r in cut:
         assert r["n_chars"] == len(r["text"]) and all(x.strip() in texts[r["doc_id"]] for x in r["text"].split("\n"))
+
+
+def test_pages_of_a_host_are_counted_over_its_shards(spark):
+    """Blocks on 2 and 3 pages of a host, long and short, and one covered only by runs of two others."""
+    rare, often = "these words stand on two pages only and therefore they stay", "these other words stand on three pages and therefore they must go"
+    left, right = "alpha beta gamma delta epsilon zeta eta theta iota", "one two three four five six seven eight nine"
+    rows = []
+    for i in range(24):
+        blocks = [f"own text number {i} differs in each of them and stays {i} as it is"]
+        blocks += [rare, "short rare"] * (i in (2, 17)) + [often, "short often"] * (i in (1, 9, 20))
+        blocks += [left + " " + right] * (i == 5) + [left] * (i in (6, 13, 21)) + [right] * (i in (3, 12, 23))
+        declared = f"<article><p>{often}</p></article>" if i == 22 else ""
+        rows.append((i, f"http://h/{i}", "".join(f"<p>{b}</p>" for b in blocks) + declared))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({r["page_id"]: r["text"] for r in html_text.main_text(df, shard_pages=n).collect()} for n in (2000, 2))
+    assert one == many
+    assert often not in many[9] and "short often" not in many[9] and often in many[22]
+    assert rare in many[2] and "short rare" in many[17] and left not in many[6]
