@@ -141,7 +141,13 @@ def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def minimizers(word: np.ndarray, window: int, gram: int = GRAM) -> np.ndarray:
-    """The place of the least hash of `gram` words in the window at each word (the first one on a tie)."""
+    """The place of the least hash of `gram` words in the window at each word (the first one on a tie).
+
+    A place takes the low 24 bits beside the hash, so longer inputs go in pieces that overlap by a window.
+    """
+    most = 1 << 24
+    if len(word) > most:
+        return np.concatenate([minimizers(word[at : at + most], window, gram) + at for at in range(0, len(word) - window + 1, most - window + 1)])
     order = (window_hashes(word, gram) & _U(0xFFFFFFFFFF000000)) | np.arange(max(0, len(word) - gram + 1), dtype=_U)
     span, have = window - gram + 1, 1
     while have < span:

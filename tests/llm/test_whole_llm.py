@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from tagweave.llm import html_text, mixing
+import numpy as np
+
+from tagweave.llm import html_text, mixing, substring
 
 
 def test_pipeline_takes_the_words_that_the_mix_drew(spark):
@@ -46,3 +48,13 @@ def test_pages_of_a_host_are_counted_over_its_shards(spark):
     assert one == many
     assert often not in many[9] and "short often" not in many[9] and often in many[22]
     assert rare in many[2] and "short rare" in many[17] and left not in many[6]
+
+
+def test_minimizers_of_a_text_of_more_than_2_to_24_words():
+    window = 20
+    word = np.random.default_rng(4).integers(0, 1 << 62, (1 << 24) + 5000).astype(np.uint64)
+    word[-1000:] = word[:1000]
+    got = substring.minimizers(word, window)
+    ahead = got - np.arange(len(word) - window + 1)
+    assert ahead.min() >= 0 and ahead.max() <= window - substring.GRAM
+    assert (got[-(1000 - window + 1) :] - got[: 1000 - window + 1] == len(word) - 1000).all()
