@@ -8,11 +8,13 @@ queue; windows of exactly a power of two need no padding and are looked up. No i
 block of the stream (or one document, if that is longer).
 
 Defined cases: a null or empty text is its end id alone; a null doc_id, repeated rows and other columns of docs change
-nothing; an empty table gives no sequence. Special tokens' strings in a text are ordinary text.
+nothing; an empty table gives no sequence. The string of a token that the vocabulary's file adds (an end-of-text mark)
+is that token's id, as the tokenizer has it.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -41,32 +43,49 @@ _MAYBE_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] =
 class Cutter:
     """Token ids of texts, from a cache of the runs between single spaces or line ends.
 
-    A byte-level tokenizer of this family never joins a lone space or line end to what precedes it, so a text's ids
-    are those of its runs, each beginning with its space. Places next to other white space are not used as bounds.
-    The cache is keyed by 64-bit hashes and starts anew beyond MOST_CACHED runs.
+    A byte-level tokenizer of this family never joins a lone space or line end to what precedes it, and its added
+    tokens hold no white space, so a text's ids are those of its runs, each beginning with its space. Places next to
+    other white space are not used as bounds. The cache is looked up by hash and confirmed by bytes; it starts anew
+    beyond MOST_CACHED runs.
     """
 
-    def __init__(self, ranks: str, pattern: str):
-        import base64
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-        import tiktoken
-
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        self.tokenizer = Tokenizer.from_file(vocabulary)
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.at = np.zeros(1, np.uint32), np.array([0, 1])  # run 0 stands for the end of a text
+        self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(2, np.int64)
 
-    def _learn(self, runs: list[bytes], keys: np.ndarray) -> None:
-        made = [self.encode(r.decode("utf-8")) for r in runs]
+    def _learn(self, runs: list[bytes]) -> np.ndarray:
+        """New slots, one for each of the runs."""
+        made = [e.ids for e in self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in runs], add_special_tokens=False)]
         slots = len(self.at) - 1 + np.arange(len(made))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(m) for m in made])])
         self.flat = np.concatenate([self.flat, np.fromiter((x for m in made for x in m), np.uint32)])
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.slot = np.insert(self.keys, where, keys), np.insert(self.slot, where, slots)
+        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum([len(r) for r in runs])])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(runs), np.uint8)])
+        return slots
+
+    def _confirmed(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """slot, with new slots for runs whose bytes are not those of the run that was learned under their hash."""
+        size = ends - starts
+        same = self.raw_at[slot + 1] - self.raw_at[slot] == size
+        some = np.flatnonzero(same)
+        if len(some):
+            n = size[some]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            equal = self.raw[np.repeat(self.raw_at[slot[some]], n) + step] == data[np.repeat(starts[some], n) + step]
+            same[some] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        other = np.flatnonzero(~same)
+        if len(other):
+            slot = slot.copy()
+            slot[other] = self._learn([data[a:b].tobytes() for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+        return slot
 
     def ids(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids with `end` after each text, the offset of each text (one more at last), and ends of sentences."""
@@ -92,9 +111,12 @@ class Cutter:
         miss[inside] = self.keys[have[inside]] != unique[inside]
         if miss.any():
             raw, new = data.tobytes(), first[miss]
-            self._learn([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], unique[miss])
+            slots = self._learn([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            where = np.searchsorted(self.keys, unique[miss])
+            self.keys, self.slot = np.insert(self.keys, where, unique[miss]), np.insert(self.slot, where, slots)
         slot = np.empty(len(order), np.int64)
         slot[order] = self.slot[np.searchsorted(self.keys, unique)][np.cumsum(fresh) - 1] if len(order) else 0
+        slot = self._confirmed(slot, data, starts, ends)
         stop = _STOP[data[ends - 1]] if n else np.zeros(0, bool)
         if n:
             stop[:-1] |= data[starts[1:]] == 0x0A
@@ -152,17 +174,17 @@ _CUTTERS: dict[str, Cutter] = {}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) -> one row per piece: its document, place there, crc32 of its ids, sequence and place in it.
 
-    ranks is the path, on every executor, of a byte-level vocabulary as base64 ranks, pattern how it splits texts.
+    vocabulary is the path, on every executor, of a byte-level tokenizer's file.
     sequence_id is the task's number times 2^40 plus a count. with_ids adds the ids themselves (array<int>).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks not in _CUTTERS:
-            _CUTTERS[ranks] = Cutter(ranks, pattern)
-        cutter = _CUTTERS[ranks]
+        if vocabulary not in _CUTTERS:
+            _CUTTERS[vocabulary] = Cutter(vocabulary)
+        cutter = _CUTTERS[vocabulary]
         sequence = TaskContext.get().partitionId() << 40
         ids, held = np.zeros(0, np.uint32), [np.zeros(0, np.int64)] * 2  # held: ends of documents, of sentences
         names: list = []
@@ -206,7 +228,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, window: int = WINDOW, end_id
             names += batch.column("doc_id").to_pylist()
             sizes += np.diff(bounds).tolist()
             ids = np.concatenate([ids, more])
-            if len(ids) >= BLOCK and (made := emit(False)):
+            if len(ids) >= block and (made := emit(False)):
                 yield made
         if made := emit(True):
             yield made

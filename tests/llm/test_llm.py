@@ -70,18 +70,17 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 51: 50}
 
 
-def _ranks():
+def _vocabulary():
     public = pytest.importorskip("public_tokenizers")
-    return public.path("byte_bpe_50k.tiktoken"), public.PATTERN, public.path("byte_bpe_50k.json")
+    return public.path("byte_bpe_50k.json")
 
 
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
-    ranks, pattern, path = _ranks()
+    path = _vocabulary()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    rows = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), ranks, pattern).collect()
+    rows = packing.pack(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), path).collect()
     places = {}
     for r in rows:
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -99,7 +98,7 @@ def test_packing(spark, docs):
             assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(raw))
             at += r["length"]
         assert at == len(ids)
-    assert packing.pack(docs.limit(0), ranks, pattern).count() == 0
+    assert packing.pack(docs.limit(0), path).count() == 0
 
 
 def test_token_runs_equal_the_tokenizer():
@@ -110,10 +109,9 @@ def test_token_runs_equal_the_tokenizer():
 
     from tagweave.llm._bytes import text_bytes
 
-    ranks, pattern, path = _ranks()
+    path = _vocabulary()
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    cutter = packing.Cutter(ranks, pattern)
+    cutter = packing.Cutter(path)
 
     @settings(max_examples=200, deadline=None)
     @given(st.lists(st.text(alphabet=st.sampled_from("ab'sé1 .\n\t\r 　 😀!-"), max_size=30), max_size=4))
@@ -123,6 +121,43 @@ def test_token_runs_equal_the_tokenizer():
             assert ids[bound[i] : bound[i + 1]].tolist() == model.encode(t, add_special_tokens=False).ids + [1]
 
     check()
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  <|endoftext|>", "<|endoftext |>"]
+    ids, bound, _ = cutter.ids(*text_bytes(pa.array(texts, pa.string())), 1)
+    for i, t in enumerate(texts):
+        assert ids[bound[i] : bound[i + 1]].tolist() == model.encode(t, add_special_tokens=False).ids + [1]
+    assert 50256 in ids.tolist()
+
+
+def test_runs_under_one_hash_keep_their_own_ids(monkeypatch):
+    import pyarrow as pa
+
+    from tagweave.llm._bytes import text_bytes
+
+    cutter = packing.Cutter(_vocabulary())
+    monkeypatch.setattr(packing, "span_hashes", lambda data, a, b: np.zeros(len(a), np.uint64))
+    for text in ("one two three", "four two one"):
+        ids, _, _ = cutter.ids(*text_bytes(pa.array([text])), 1)
+        assert ids.tolist() == cutter.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_packing_over_many_blocks(spark):
+    """Blocks of 300 ids: sequences go on, and long documents are carried, over block ends; some stop at a power of two."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(["word", "other.", "Élan", "so"]) for _ in range(rng.choice([0, 3, 40, 126, 900]))) for i in range(60)}
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").coalesce(1)
+    model = Tokenizer.from_file(_vocabulary())
+    rows = packing.pack(docs, _vocabulary(), window=256, block=300, with_ids=True).collect()
+    total = {}
+    for i, t in texts.items():
+        own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        ids = model.encode(t, add_special_tokens=False).ids + [1]
+        assert [x for r in own for x in r["ids"]] == ids and [r["start"] for r in own] == [sum(len(x["ids"]) for x in own[:k]) for k in range(len(own))]
+    for r in rows:
+        total[r["sequence_id"]] = total.get(r["sequence_id"], 0) + r["length"]
+    assert max(total.values()) <= 256 and 128 in total.values()
+    assert sum(256 - n for n in total.values() if n & (n - 1)) <= 0.1 * sum(total.values())
 
 
 def test_cuts_are_the_cheapest():
