@@ -3,7 +3,8 @@
 Every language has a codeword. One binary classifier over hashed byte trigrams predicts each bit; a text's bit
 margins are decoded to the language whose codeword has the least logistic loss, and the text is called ambiguous when
 the second language comes close. Only the classifier is fitted on a bounded sample (PER_LANGUAGE rows a language, by
-hash of the id); every whole text is scored.
+hash of the id, and no more than MOST_ROWS rows in all, an equal number a language); every whole text is scored. Rows
+that share an id and a language are one of the sample (the one whose trigram shares come first in order of bytes).
 
 Defined cases: a null text, or one without a letter of any script, is `und` with score 0; a null lang teaches nothing;
 without any labelled row all texts are `und`; rows repeat and ties fall to the smaller code point; columns other than
@@ -19,15 +20,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tagweave.llm._bytes import lowered, pieces, text_bytes
+from tagweave.llm._sample import least_hashes
 
 BITS = 13
 PER_LANGUAGE = 400
 CLOSE = 0.15
 PIECE = 1 << 20
 SCALE = 60.0
+MOST_ROWS, AT_ONCE = 8_000, 1 << 16
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = np.zeros(256, bool)
 _ASCII[[*range(65, 91), *range(97, 123)]] = True
@@ -64,12 +66,15 @@ def _trigrams(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sums(rows: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Sums of rows over each text's range; empty ranges give zeros."""
-    out = np.zeros((len(off) - 1, rows.shape[1]), rows.dtype)
-    some = np.flatnonzero(off[1:] > off[:-1])
-    if len(some):
-        out[some] = np.add.reduceat(rows, off[:-1][some], axis=0)
+def _sums(table: np.ndarray, ids: np.ndarray, off: np.ndarray, at_once: int = AT_ONCE) -> np.ndarray:
+    """Sums of table[ids] over each text's range, at_once ids at a time; empty ranges give zeros."""
+    out = np.zeros((len(off) - 1, table.shape[1]))
+    for low in range(0, len(ids), at_once):
+        rows = table[ids[low : low + at_once]]
+        first, last = np.searchsorted(off, [low, low + len(rows) - 1], "right") - 1
+        at = np.clip(off[first : last + 2] - low, 0, len(rows))
+        some = np.flatnonzero(at[1:] > at[:-1])
+        out[first + some] += np.add.reduceat(rows, at[:-1][some], axis=0)
     return out
 
 
@@ -81,18 +86,20 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             own = np.bincount(ids[off[i] : off[i + 1]], minlength=(1 << BITS) + 1)[:-1]
             rows.append((own / max(1, own.sum())).astype(np.float16).tobytes())
-        yield pa.record_batch({"lang": batch.column("lang"), "x": pa.array(rows, pa.binary())})
+        yield pa.record_batch({"lang": batch.column("lang"), "doc_id": batch.column("doc_id"), "x": pa.array(rows, pa.binary())})
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, steps: int = 150) -> dict:
     """labelled (doc_id, text, lang) -> languages, codewords and weights. Learns from per_language rows a language.
 
-    The ids of the sample are broadcast: per_language at most for each language.
+    The ids of the sample are broadcast: MOST_ROWS at most.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = labelled.where("lang is not null and doc_id is not null").select("lang", "doc_id").withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_language)
-    some = labelled.where("text is not null").join(F.broadcast(few.select("lang", "doc_id").distinct()), ["lang", "doc_id"])
-    rows = some.select("lang", "text").mapInArrow(_features, "lang string, x binary").collect()
+    known = labelled.where("lang is not null").select("lang").distinct().limit(MOST_ROWS + 1).count()
+    if known > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} languages")
+    few = least_hashes(labelled.where("text is not null").select("lang", "doc_id"), "lang", "doc_id", min(per_language, MOST_ROWS // max(1, known)))
+    some = labelled.select("lang", "doc_id", "text").where("text is not null").join(F.broadcast(few), ["lang", "doc_id"])
+    rows = some.mapInArrow(_features, "lang string, doc_id long, x binary").groupBy("lang", "doc_id").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
@@ -141,7 +148,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
         for batch in pieces(batches, "text", PIECE):
             column = batch.column("text")
             data, off = text_bytes(column)
-            sums = _sums(model["w"][_trigrams(data, off)], off)
+            sums = _sums(model["w"], _trigrams(data, off), off)
             best, p, close = np.full(batch.num_rows, len(langs) - 1), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             if len(langs) > 1 and batch.num_rows:
                 best, p, close = decode(sums / np.maximum(off[1:] - off[:-1] - 2, 1)[:, None] + model["b"], model["code"])

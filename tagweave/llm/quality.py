@@ -3,7 +3,10 @@
 The network: filters of four bytes at every second byte, max-pooled over overlapping chunks of 1024 bytes that cover
 the whole text, rectified, averaged over the chunks and put through a logistic unit. It is fitted by Adam on a bounded
 sample (PER_CLASS texts a class by hash of the id, at most CHUNKS evenly spaced chunks of each); every whole text is
-scored, in blocks of 256 bytes whose maxima are combined, so memory does not follow a text's length.
+scored, in blocks of 256 bytes whose maxima are combined. Beside the text and a padded copy of it, memory holds the
+outputs of 1024 blocks and 24 numbers a block.
+
+Rows that share an id and a label are one of the sample (the one whose chunks come first in order of bytes).
 
 Defined cases: null and empty texts are scored as a chunk of padding; null labels teach nothing; repeated label rows
 count once; without labels of both classes every score is the share of label 1 (0.5 without any); an empty table gives
@@ -18,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tagweave.llm._bytes import pieces, text_bytes
+from tagweave.llm._sample import least_hashes
 
 FILTERS, KERNEL, STEP = 24, 4, 2
 UNIT, SPAN, HOP = 256, 4, 3  # bytes a block; blocks a chunk; blocks between chunks
@@ -37,7 +40,8 @@ def blocks(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     count = -(-(size + KERNEL) // UNIT)
     first = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(first[-1] * UNIT + KERNEL, np.uint8)
-    out[np.arange(len(data)) + np.repeat(first[:-1] * UNIT - off[:-1], size)] = data
+    for to, a, b in zip((first[:-1] * UNIT).tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+        out[to : to + b - a] = data[a:b]
     return out, first
 
 
@@ -56,19 +60,32 @@ def pair_tables(e: np.ndarray) -> list[np.ndarray]:
     return [(e[j][:, None, :] + e[j + 1][None, :, :]).reshape(65536, -1).astype(np.float32) for j in range(0, KERNEL, 2)]
 
 
-def block_maxima(data: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    pairs = data[:-1].astype(np.int64) * 256 + data[1:]
-    n = (len(data) - KERNEL) // STEP
-    act = tables[0][pairs[0 : n * STEP : STEP]]
-    for j, t in enumerate(tables[1:], 1):
-        act += t[pairs[2 * j : 2 * j + n * STEP : STEP]]
-    return act.reshape(-1, UNIT // STEP, act.shape[1]).max(1)
+def block_maxima(data: np.ndarray, tables: list[np.ndarray], last: np.ndarray, at_once: int = 1024) -> np.ndarray:
+    """Each block's largest output of each filter, from at_once blocks at a time.
+
+    last: blocks that end a text. Their last place would read the next text; it sees padding like the place before.
+    """
+    total = (len(data) - KERNEL) // UNIT
+    out = np.empty((total, tables[0].shape[1]), np.float32)
+    for low in range(0, total, at_once):
+        high = min(total, low + at_once)
+        own = data[low * UNIT : high * UNIT + KERNEL]
+        pairs = own[:-1].astype(np.int32) * 256 + own[1:]
+        n = (len(own) - KERNEL) // STEP
+        act = tables[0][pairs[0 : n * STEP : STEP]]
+        for j, t in enumerate(tables[1:], 1):
+            act += t[pairs[2 * j : 2 * j + n * STEP : STEP]]
+        act = act.reshape(-1, UNIT // STEP, act.shape[1])
+        end = last[(last >= low) & (last < high)] - low
+        act[end, -1] = act[end, -2]
+        act.max(1, out=out[low:high])
+    return out
 
 
 def forward(model: dict, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     padded, first = blocks(data, off)
     rows, owner = chunk_blocks(first)
-    top = block_maxima(padded, model["tables"])[rows].max(1)
+    top = block_maxima(padded, model["tables"], first[1:] - 1)[rows].max(1)
     hidden = np.maximum(top + model["bias"], 0)
     z = np.bincount(owner, hidden @ model["w"], len(off) - 1) / np.bincount(owner, minlength=len(off) - 1) + model["b"]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -100,9 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs:
 
     The sampled label rows are broadcast: they number at most twice per_class.
     """
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = labels.where("label is not null and doc_id is not null").select("doc_id", "label").distinct().withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_class).drop("_n")
-    got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").mapInArrow(_samples, "doc_id long, label int, x binary").collect()
+    rows = least_hashes(labels.where("doc_id is not null").select("doc_id", "label"), "label", "doc_id", per_class)
+    cut = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").mapInArrow(_samples, "doc_id long, label int, x binary")
+    got = cut.groupBy("doc_id", "label").agg(F.min("x").alias("x")).collect()
     got.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["x"])))
     return train([(r["label"], r["x"]) for r in got], epochs, seed)
 
