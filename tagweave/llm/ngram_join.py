@@ -10,14 +10,17 @@ overlap. The steps:
 2. Equal sets make one class. The classes left get exact document frequencies, and with them the global order. Two
    linked sets share an n-gram among the rarest fifth of each (prefix filter), at places that leave room enough for
    the overlap (positional filter).
-3. Before sets are compared, their counts in cells by hash must leave room for the overlap too. Every class is compared with the class that most often leads the lists of its rare n-grams (the one least far down
-   its own order). Links make components. Then, within a list, all pairs of different components that pass the
-   filters are compared: whatever could still join two components is looked at, and a group of a thousand near copies
-   costs a thousand comparisons, not a million.
+3. Before sets are compared, their counts in cells by hash must leave room for the overlap too. Every class is
+   compared with the class that most often leads the lists of its rare n-grams (the one least far down its own order).
+   Links make components. Then, within a list, all pairs of different components that pass the
+   filters are compared: whatever could still join two components is looked at.
+4. All links lie within components. Their numbers are counted there in blocks of classes: the blocks' n-grams are cut
+   into the same fragments, partial overlaps of all pairs are matrix products, and their sum decides. Pairs are not
+   listed, so a group of thousands of near copies costs their comparisons but no rows.
 
 Defined cases: a null or empty text, or one without words, has no n-grams and links with nothing; a text of fewer than
-n words is one n-gram; rows with a null id count like others but name no component; rows that share an id and differ
-are separate documents; an empty table gives an empty result; other columns are not read.
+n words is one n-gram; rows with a null id count like others but name no component; rows that share an id are
+separate documents; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,10 +39,11 @@ from tagweave.llm._squeeze import expand, fragment_count, runs, squeeze
 from tagweave.llm._store import drop_written, written
 
 N = 5
-PIECE = 4 << 20
+PIECE, SLICE = 4 << 20, 1 << 19
 MANY = np.uint32(0xFFFFFFFF)
 CLASSES = 12
 SPREAD = 128
+ROWS, GRAMS, COLUMNS = 512, 1 << 19, 1024
 _U = np.uint64
 
 
@@ -73,6 +77,16 @@ def ngram_sets(data: np.ndarray, off: np.ndarray, n: int = N) -> tuple[np.ndarra
     return gram, owner, np.bincount(owner, minlength=len(off) - 1)
 
 
+def _sets_of(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ngram_sets of a batch, made from slices of it, so that what they need on the way does not add up."""
+    made, at = [], 0
+    for part in pieces([batch], "text", SLICE):
+        gram, owner, count = ngram_sets(*text_bytes(part.column("text")), n)
+        made.append((gram, owner + at, count))
+        at += part.num_rows
+    return tuple(np.concatenate(x) for x in zip(*made, strict=True))
+
+
 def _fingerprints(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = []
     begin = np.cumsum(count) - count
@@ -116,13 +130,12 @@ def _rows_of(table: pa.Table) -> list[tuple]:
     return list(zip(*(table.column(i).to_pylist() for i in range(table.num_columns)), strict=True))
 
 
-def document_sizes(docs: DataFrame, n: int = N) -> DataFrame:
+def document_sizes(docs: DataFrame, n: int = N, fragments: int = 1) -> DataFrame:
     """(doc_id, n, fp1, fp2, alive) of every row: set size, fingerprint, and whether a partner is possible at all."""
-    fragments = fragment_count(docs)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, batch in zip(_batch_numbers(), pieces(batches, "text", PIECE)):
-            gram, owner, count = ngram_sets(*text_bytes(batch.column("text")), n)
+            gram, owner, count = _sets_of(batch, n)
             one, two = _fingerprints(gram, count)
             rows = [_row(b % fragments, b, batch.column("doc_id").to_pylist(), squeeze(count), np.stack([one, two]).tobytes())]
             order, begin, _ = runs(gram)
@@ -175,15 +188,16 @@ _PREFIXES = "key long, n long, prefix array<struct<gram:long,pos:long>>, parts a
 
 
 def global_order(texts: DataFrame, fragments: int, n: int = N) -> DataFrame:
-    """texts (key, text), one row a class -> its rare n-grams with their places in the global order, and its set cut along that order.
+    """texts (key, fp1, fp2, text), one row a class -> its rare n-grams with their places in the global order, and its set cut along that order.
 
     Only n-grams that two classes or more share are listed; the others come first in the order and meet nothing.
     """
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, batch in zip(_batch_numbers(), pieces(batches, "text", PIECE)):
-            gram, owner, count = ngram_sets(*text_bytes(batch.column("text")), n)
-            mine = _fingerprints(gram, count)[0] == batch.column("key").to_numpy()  # another row of that id may have another text
+            gram, owner, count = _sets_of(batch, n)
+            one, two = _fingerprints(gram, count)
+            mine = (one == batch.column("fp1").to_numpy()) & (two == batch.column("fp2").to_numpy())  # another row of that id may have another text
             rows = [_row(b % fragments, b, batch.column("key").to_pylist(), squeeze(np.where(mine, count, 0)))]
             gram, owner = gram[mine[owner]], owner[mine[owner]]
             part = ((gram >> _U(40)) % _U(fragments)).astype(np.int64)
@@ -243,7 +257,7 @@ def global_order(texts: DataFrame, fragments: int, n: int = N) -> DataFrame:
             made.append(pa.table({"key": keys, "n": size[some], "prefix": pa.ListArray.from_arrays(pa.array(bounds[0]), prefix), "parts": pa.ListArray.from_arrays(pa.array(bounds[1]), cut), "spread": spread}))
         return pa.concat_tables(made)
 
-    met = texts.select("key", "text").mapInArrow(ship, _SHIPPED).groupBy("f").applyInArrow(frequencies, _SHIPPED)
+    met = texts.select("key", "fp1", "fp2", "text").mapInArrow(ship, _SHIPPED).groupBy("f").applyInArrow(frequencies, _SHIPPED)
     return met.groupBy("b").applyInArrow(place, _PREFIXES)
 
 
@@ -268,12 +282,86 @@ def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap")).where("9 * overlap >= 4 * (na + nb)").select("a", "b")
 
 
-def link_groups(docs: DataFrame, n: int = N) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_shingles, component_id) for every row."""
-    sized = written(document_sizes(docs, n), "sizes")
-    classes = sized.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("alive").alias("alive"))
-    chosen = classes.where("alive and rep is not null").select(F.col("rep").alias("doc_id"), F.col("fp1").alias("key"))
-    found = global_order(docs.select("doc_id", "text").join(chosen, "doc_id"), fragment_count(docs), n)
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links of each class of a block (component, p, q): overlaps of all its pairs, fragment by fragment, summed."""
+    block = np.stack([table.column(c).to_numpy() for c in ("component", "p", "q")])
+    own, key, n, copies = (table.column(c).to_numpy() for c in ("own", "key", "n", "copies"))
+    lists = table.column("parts").combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, sets = lists.flatten(), lists.flatten().field(1)
+    gram = sets.flatten().to_numpy()
+    per_list, per_set = lists.value_lengths().to_numpy(), sets.value_lengths().to_numpy()
+    part = np.repeat(flat.field(0).to_numpy(), per_set)
+    list_end, set_end = np.cumsum(per_list), np.concatenate([[0], np.cumsum(per_set)])
+    end = set_end[list_end]
+    begin = np.concatenate([[0], end[:-1]])
+    order = np.lexsort(block[::-1])
+    edge = np.flatnonzero((np.diff(block[:, order], axis=1, prepend=-1) != 0).any(0)) if len(order) else np.zeros(0, np.int64)
+    out_key, out_n = [], []
+    for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True):
+        at = order[a:b]
+        size = (end - begin)[at]
+        where = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[at], size)
+        _, first, column, times = np.unique(gram[where], return_index=True, return_inverse=True, return_counts=True)
+        fragment, row = part[where][first], np.repeat(np.arange(len(at)), size)
+        overlap = np.full((len(at), len(at)), (times == len(at)).sum(), np.float32)
+        some = np.flatnonzero((times > 1) & (times < len(at)))
+        some = some[np.argsort(fragment[some], kind="stable")]
+        place = np.full(len(times), -1)
+        place[some] = np.arange(len(some))
+        to = place[column]
+        row, to = row[to >= 0], to[to >= 0]
+        by = np.argsort(to, kind="stable")
+        row, to = row[by], to[by]
+        for _, s in _split(fragment[some]):
+            for low in range(s.start, s.stop, COLUMNS):
+                high = min(s.stop, low + COLUMNS)
+                i, j = np.searchsorted(to, [low, high])
+                x = np.zeros((len(at), high - low), np.float32)
+                x[row[i:j], to[i:j] - low] = 1
+                overlap += x @ x.T
+        linked = 9 * overlap.astype(np.float64) >= 4 * (n[at][:, None] + n[at][None, :])
+        np.fill_diagonal(linked, False)
+        if block[1, at[0]] != block[2, at[0]]:
+            linked &= own[at][:, None] != own[at][None, :]
+        out_key.append(key[at])
+        out_n.append(linked @ copies[at])
+    if not out_key:
+        return pa.table({"key": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+    return pa.table({"key": np.concatenate(out_key), "links": np.concatenate(out_n).astype(np.int64)})
+
+
+def link_counts(order: DataFrame, groups: DataFrame, copies: DataFrame, rows: int = ROWS, grams: int = GRAMS) -> DataFrame:
+    """(key, links): the documents of other classes that each class links with.
+
+    Links lie within components. A component's classes are dealt by hash into blocks of about `rows` classes and
+    `grams` n-grams; each pair of blocks is one piece of work, whatever task it falls to, and no pair is listed.
+    Two classes that make a component are linked.
+    """
+    all_ = order.select("key", "n", "parts").join(groups.select(F.col("node").alias("key"), "component"), "key").join(copies, "key")
+    size = all_.groupBy("component").agg(F.count("*").alias("k"), F.sum("copies").alias("all"), F.sum("n").alias("grams"))
+    all_ = written(all_, "members")
+    many = written(size.where("k > 2").withColumn("blocks", F.greatest(F.ceil(F.col("k") / rows), F.ceil(F.col("grams") / grams)).cast("int")), "blocks")
+    total = many.agg(F.sum(F.col("grams") * F.col("blocks")).alias("n")).first()["n"] or 0
+    tasks = max(1, -(-total // (4 * grams)))
+    posted = all_.join(many, "component").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    posted = posted.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).withColumn("g", F.pmod(F.xxhash64("component", "p", "q"), F.lit(tasks)))
+    counted = posted.select("g", "component", "p", "q", "own", "key", "n", "copies", "parts").groupBy("g").applyInArrow(_block_links, "key long, links long")
+    two = all_.join(size.where("k = 2"), "component").select("key", (F.col("all") - F.col("copies")).alias("links"))
+    return counted.groupBy("key").agg(F.sum("links").alias("links")).unionByName(two)
+
+
+def link_groups(docs: DataFrame, n: int = N, count_links: bool = True, fragments: int | None = None, rows: int = ROWS, grams: int = GRAMS) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_shingles, component_id) for every row, and with count_links n_links.
+
+    n_links: the other rows with an id that the row links with, equal sets included; null for a null id.
+    """
+    fragments = fragments or fragment_count(docs)
+    sized = written(document_sizes(docs, n, fragments), "sizes")
+    classes = sized.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.max("alive").alias("alive"), F.count("doc_id").alias("copies"))
+    classes = written(classes.where("rep is not null").withColumn("key", F.monotonically_increasing_id()), "classes")
+    chosen = classes.where("alive").select(F.col("rep").alias("doc_id"), "fp1", "fp2", "key")
+    found = global_order(docs.select("doc_id", "text").join(chosen, "doc_id"), fragments, n)
     order = written(found.dropDuplicates(["key"]), "order")
     parts = order.select("key", F.explode("parts").alias("p")).select("key", "p.part", "p.grams")
     listed = order.select("key", "n", F.explode("prefix").alias("p")).select("p.gram", F.struct("p.pos", "n", "key").alias("m"))
@@ -291,12 +379,14 @@ def link_groups(docs: DataFrame, n: int = N) -> DataFrame:
     apart = x.join(y, "gram").where("g <> h and (m.n < o.n or m.n = o.n and m.key < o.key) and 5 * m.n >= 4 * o.n and " + _room("m", "o"))
     rest = apart.select(F.col("m.key").alias("a"), F.col("o.key").alias("b"), F.col("m.n").alias("na"), F.col("o.n").alias("nb")).distinct()
     more = links.unionByName(overlaps(hopeful(rest, order), parts))
-    final = components(more)
+    final = written(components(more), "groups")
+    named = classes.join(final.withColumnRenamed("node", "key"), "key", "left").withColumn("of", F.coalesce("component", "key"))
+    smallest = named.where("component is not null").groupBy("of").agg(F.min("rep").alias("low"))
+    named = named.join(smallest, "of", "left").select("key", "n", "fp1", "fp2", "copies", F.coalesce("low", "rep").alias("low"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id")).alias("component_id")]
+    if count_links:
+        named = named.join(link_counts(order, final, classes.select("key", "copies"), rows, grams), "key", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        columns.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
     drop_written(links)
     drop_written(group)
-    named = classes.select("n", "fp1", "fp2", "rep").join(final.withColumnRenamed("node", "fp1"), "fp1", "left").withColumn("of", F.coalesce("component", "fp1"))
-    smallest = named.where("component is not null").groupBy("of").agg(F.min("rep").alias("low"))
-    named = named.join(smallest, "of", "left").select("n", "fp1", "fp2", F.coalesce("low", "rep").alias("low"))
-    out = sized.join(named, ["n", "fp1", "fp2"], "left")
-    of = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), of.alias("component_id"))
+    return sized.join(named, ["n", "fp1", "fp2"], "left").select(*columns)
