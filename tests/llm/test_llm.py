@@ -351,18 +351,14 @@ def test_mixing(spark, docs):
 
 def test_targets_and_permutation(spark):
     sized = spark.createDataFrame([("a", 10), ("b", 10), ("c", 1), (None, 100)], "source string, size long")
-    got = {r["source"]: r["target"] for r in mixing.source_targets(sized).collect()}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sized)}
     assert got["a"] == 30.0 and got["c"] == 3.0 and got["b"] == pytest.approx(30.0) and got[None] == pytest.approx(58.0)
     for n in (1, 2, 7, 1000):
         keys = mixing._keys(1, 2, 0)
         p = mixing.permuted(np.arange(n), n, keys)
         assert sorted(p.tolist()) == list(range(n)) and (mixing.permuted(p, n, keys, back=True) == np.arange(n)).all()
     slots = np.array([500, 20, 3])
-    parts = [mixing.shard_counts(slots, i, 6, 100, 9)[0] for i in range(6)]
-    assert (sum(parts) == slots).all() and [p.sum() for p in parts] == [100] * 5 + [23]
-
-
-def test_take_mixed(spark):
-    df = spark.createDataFrame([(1, " x\ty  z ", "en", "b", 8), (2, None, "en", "b", 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    m = spark.createDataFrame([(1, 3, 5), (2, 0, 0)], "doc_id long, size long, taken long")
-    assert sorted(r["text"] for r in mixing.take_mixed(df, m).collect()) == [" x\ty", " x\ty  z "]
+    for stratum in (1, 4, 100):
+        parts = [mixing.shard_counts(slots, i, 6, 100, 9, stratum) for i in range(6)]
+        assert (sum(p for p, _ in parts) == slots).all() and all(80 <= p.sum() <= 95 for p, _ in parts)
+        assert all((b == sum([p for p, _ in parts[:i]], start=0 * slots)).all() for i, (_, b) in enumerate(parts))
