@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share an id are one document here: one of them stays. Rows with a null id all stay."""
-    groups = ngram_join.link_groups(docs.select("doc_id", "text"))
+    groups = ngram_join.link_groups(docs.select("doc_id", "text"), count_links=False)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     one = docs.select(*COLUMNS).join(kept, "doc_id").withColumn("_n", F.row_number().over(order)).where("_n = 1")
@@ -42,8 +42,7 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    return mixing.take_mixed(docs, mixing.mix(docs, drawn_words=True))
+    return mixing.take_mixed(docs).select(*COLUMNS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
