@@ -15,7 +15,6 @@ is that token's id, as the tokenizer has it.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ SENTENCE, HARD = 12.0, 48.0
 STRIDE = 128
 BLOCK = 1 << 19
 PIECE = 1 << 20
-MOST_CACHED = 1_500_000
+MOST_CACHED = 3_000_000
 _STOP = np.zeros(256, bool)
 _STOP[[*b".!?"]] = True
 #: Bytes that can be part of a white-space character (ASCII ones, and the lead bytes of all the others).
@@ -42,8 +41,6 @@ _MARK[[*b".,;:!?"]] = True
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MAYBE_SPACE = np.zeros(256, bool)
 _MAYBE_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-#: A lone space or line end, then bytes that end with three of which none can be part of a white-space character.
-_PLAIN = re.compile(rb"[ \n](?![\t-\r\x1c-\x20\xc2\xe1-\xe3])(?s:.)*(?<![\t-\r\x1c-\x20\xc2\xe1-\xe3](?s:..))(?<![\t-\r\x1c-\x20\xc2\xe1-\xe3](?s:.))(?<![\t-\r\x1c-\x20\xc2\xe1-\xe3])\Z")
 MANY = 4096
 
 
@@ -71,32 +68,43 @@ class Cutter:
         self.flat, self.at = np.zeros(1, np.uint32), np.array([0, 1])  # run 0 stands for the end of a text
         self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(2, np.int64)
 
-    def _encoded(self, runs: list[bytes]) -> list[np.ndarray]:
-        """The ids of each run. Runs that begin with a lone space or line end and end plainly are encoded end to end,
-        MANY at a time, and cut by their tokens' lengths; the others one by one."""
-        out: list[np.ndarray | None] = [None] * len(runs)
-        plain = [i for i, r in enumerate(runs) if _PLAIN.match(r)]
-        for low in range(0, len(plain), MANY):
-            own = plain[low : low + MANY]
-            text = b"".join(runs[i] for i in own).decode("utf-8")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            upto = np.cumsum(self.length[ids])
-            cut = np.searchsorted(upto, np.cumsum([len(runs[i]) for i in own])) + 1
-            for i, a, b in zip(own, [0, *cut[:-1].tolist()], cut.tolist(), strict=True):
-                out[i] = ids[a:b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([runs[i].decode("utf-8") for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return out
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the runs data[starts:ends], their ids end to end in that order, and how many each has.
 
-    def _learn(self, runs: list[bytes]) -> np.ndarray:
+        Runs that begin with a lone space or line end and end plainly are encoded end to end, MANY at a time, and cut by
+        their tokens' lengths; the others come after them, one by one.
+        """
+        odd = _MAYBE_SPACE[data]
+        plain = (data[starts] == 0x20) | (data[starts] == 0x0A)
+        plain &= (ends - starts > 1) & ~odd[np.minimum(starts + 1, len(data) - 1)]
+        for back in (1, 2, 3):
+            plain &= ~odd[np.maximum(ends - back, starts)] | (ends - back <= starts)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        raw, n = data.tobytes(), int(plain.sum())
+        runs = [raw[a:b] for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
+        ids, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for low in range(0, n, MANY):
+            own = runs[low : min(n, low + MANY)]
+            made = np.array(self.tokenizer.encode_batch_fast([b"".join(own).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.searchsorted(np.cumsum(self.length[made]), np.cumsum([len(r) for r in own])) + 1
+            ids.append(made)
+            count.append(np.diff(cut, prepend=0))
+        for e in self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in runs[n:]], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            count.append(np.array([len(ids[-1])]))
+        return order, np.concatenate(ids), np.concatenate(count)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """New slots, one for each of the runs."""
-        made = self._encoded(runs)
-        slots = len(self.at) - 1 + np.arange(len(made))
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(m) for m in made])])
-        self.flat = np.concatenate([self.flat, *made])
-        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum([len(r) for r in runs])])
-        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(runs), np.uint8)])
+        order, ids, count = self._encoded(data, starts, ends)
+        slots = np.empty(len(order), np.int64)
+        slots[order] = len(self.at) - 1 + np.arange(len(order))
+        size = (ends - starts)[order]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(size)])
+        self.raw = np.concatenate([self.raw, data[np.repeat(starts[order], size) + step]])
         return slots
 
     def _confirmed(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -112,7 +120,7 @@ class Cutter:
         other = np.flatnonzero(~same)
         if len(other):
             slot = slot.copy()
-            slot[other] = self._learn([data[a:b].tobytes() for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            slot[other] = self._learn(data, starts[other], ends[other])
         return slot
 
     def ids(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +148,8 @@ class Cutter:
         inside = have < len(self.keys)
         miss[inside] = self.keys[have[inside]] != unique[inside]
         if miss.any():
-            raw, new = data.tobytes(), first[miss]
-            slots = self._learn([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            new = first[miss]
+            slots = self._learn(data, starts[new], ends[new])
             where = np.searchsorted(self.keys, unique[miss])
             self.keys, self.slot = np.insert(self.keys, where, unique[miss]), np.insert(self.slot, where, slots)
         slot = np.empty(len(order), np.int64)
