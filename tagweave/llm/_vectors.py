@@ -39,3 +39,11 @@ def sample(vectors: DataFrame, d: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     rows = vectors.where("vec_id is not null and embedding is not null").orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "embedding").limit(n).toArrow()
     which, x = matrix(rows.column("embedding"), d)
     return rows.column("vec_id").to_numpy()[which], x
+
+
+def one_each(vectors: DataFrame, d: int) -> DataFrame:
+    """(vec_id, embedding): for every id the least, component by component, of its vectors of d finite components and a norm above 0."""
+    size = lambda x: F.abs(x.cast("double"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (size(x) < float("inf")))
+    good = (F.size("embedding") == d) & finite & F.exists("embedding", lambda x: size(x) > 0)
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))

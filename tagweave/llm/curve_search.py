@@ -3,37 +3,41 @@
 Vectors are scaled by the largest norm and given one more component, so that the largest inner product is the least
 distance (queries get length 1 and 0 there). Each curve is a Hilbert order of a shifted random projection to a few
 dimensions; its keys, with a hash to split equal ones, are cut into segments of about SEGMENT rows at quantiles of a
-bounded sample. A query is compared with all rows of the segments within `reach` of its own on every curve; the
+bounded sample. A query is compared with the rows of the segments within `reach` of its own on every curve; the
 windows' results are merged and ranked by exact scores. A pair met on several curves counts on the first.
 
-reach is fitted: on a bounded sample of queries, compared with all rows, it is the least one whose recall passes
-RECALL. Where the data has no near neighbours to speak of (unrelated directions in many dimensions), it comes out wide
-and the search does as much work as a comparison in blocks. Only rows that score at least what a query's TOP-th best
-of a bounded sample of rows scores are handed on, beside that sample's own TOP best: the bound can drop none of the
-TOP best, and every query gets TOP rows.
+How many of the curves (two at least) are used, and their reach, is fitted: on a bounded sample of queries, compared
+with all rows, they are those whose windows hold the share RECALL of the true neighbours with the least rows compared.
+Where the data has no near neighbours to speak of (unrelated directions in many dimensions), the windows come out
+wide and the search does as much work as a comparison in blocks. Only rows that score at least what a query's TOP-th
+best of a bounded sample of rows scores are handed on; that bound can drop none of the TOP best. A query that its
+windows leave short of TOP rows is compared with all rows of the first curve.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
-part, nor do rows with a null id; rows that repeat an id count once; ties go to the smaller id; an empty table gives an
-empty result; other columns are not read.
+part, nor do rows with a null id; rows that repeat an id are one vector, the least of the valid ones component by
+component; ties go to the smaller id; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagweave.llm._bytes import mix
 from tagweave.llm._store import written
-from tagweave.llm._vectors import matrix, norms, sample, usual_length
+from tagweave.llm._vectors import matrix, norms, one_each, sample, usual_length
 
 TOP, EVERY = 20, 20
 CURVES, DIMENSIONS, BITS = 6, 8, 6
-SEGMENT, KEYS, ROWS, TRIALS, RECALL = 4096, 65_536, 16_384, 256, 0.97
+SEGMENT, KEYS, ROWS, TRIALS, RECALL = 1024, 65_536, 16_384, 256, 0.97
+LEAST_CURVES = 2
 SEED = 5
 
 
@@ -64,7 +68,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 class Curves:
     """Projections, shifts and cell edges of all curves, fitted on a sample."""
 
-    def __init__(self, x: np.ndarray, longest: float, rows: int, curves: int = CURVES, seed: int = SEED):
+    def __init__(self, x: np.ndarray, longest: float, rows: int, curves: int = CURVES, segment: int = SEGMENT, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.longest = longest
         d = x.shape[1] + 1
@@ -79,12 +83,18 @@ class Curves:
             self.low.append(low - rng.uniform(0.0, 0.5, self.dims) * room)  # the shift
             self.high.append(high + rng.uniform(0.0, 0.5, self.dims) * room)
         self.bounds: list[np.ndarray] = []
-        segments = max(1, -(-rows // SEGMENT))
+        segments = max(1, -(-rows // segment))
         keys = self.keys(raised, mix(np.arange(len(x), dtype=np.uint64)))
         for key in keys:
             key = np.sort(key)
             self.bounds.append(key[(np.arange(1, segments) * len(key)) // segments])
 
+    def first(self, n: int) -> Curves:
+        """The same without all but the first n curves."""
+        out = copy.copy(self)
+        out.axes, out.low, out.high, out.bounds = self.axes[:n], self.low[:n], self.high[:n], self.bounds[:n]
+        return out
+
     def raised(self, x: np.ndarray, query: bool) -> np.ndarray:
         size = norms(x)
         if query:
@@ -128,16 +138,19 @@ def best(scores: np.ndarray, ids: np.ndarray, top: int) -> list[np.ndarray]:
     return out
 
 
-def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, curves: int = CURVES, recall: float = RECALL) -> DataFrame:
-    """vectors (vec_id, embedding) -> (query_id, rank, vec_id, score): for each row whose id `every` divides, its `top` best others."""
+def search(
+    vectors: DataFrame, top: int = TOP, every: int = EVERY, curves: int = CURVES, recall: float = RECALL, segment: int = SEGMENT, fit: tuple[int, int] | None = None
+) -> DataFrame:
+    """vectors (vec_id, embedding) -> (query_id, rank, vec_id, score): for each row whose id `every` divides, its `top` best others.
+
+    fit gives the number of curves and the reach, instead of fitting them.
+    """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").dropDuplicates(["vec_id"])
-    rows = written(rows, "vectors")
-    d = usual_length(rows)
-    some_ids, some = sample(rows, d, ROWS)
-    kind = "query_id long, rank int, vec_id long, score double"
+    d = usual_length(vectors.select("vec_id", "embedding"))
+    rows = written(one_each(vectors.select("vec_id", "embedding"), d), "vectors")
+    _, some = sample(rows, d, ROWS)
     if not len(some):
-        return spark.createDataFrame([], kind)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, longest = 0, 0.0
@@ -146,28 +159,46 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, curves: int =
         yield pa.record_batch({"n": [n], "longest": [longest]})
 
     total = rows.mapInArrow(measure, "n long, longest double").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).first()
-    model = Curves(sample(rows, d, KEYS)[1], total["longest"], total["n"], curves)
+    model = Curves(sample(rows, d, KEYS)[1], total["longest"], total["n"], curves, segment)
     widest = len(model.bounds[0])
-    reach = fitted_reach(rows, model, d, top, every, recall) if widest else 0
+    used, reach = fit or (fitted(rows, model, d, top, every, recall) if widest else (1, 0))
     floor = spark.sparkContext.broadcast(some)  # ROWS vectors at most
+    asked = F.col("vec_id") % every == 0
+    met = _windows(rows, rows.where(asked), model.first(used), d, top, reach, floor)
+    met = written(met, "met")
+    enough = met.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n")).where(F.col("n") >= min(top, total["n"] - 1))
+    short = written(rows.where(asked).join(enough, "vec_id", "left_anti"), "short")
+    if short.count():
+        again = _windows(rows, short, model.first(1), d, top, widest, None)
+        met = met.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(rows: DataFrame, queries: DataFrame, model: Curves, d: int, top: int, reach: int, floor: Broadcast | None) -> DataFrame:
+    """(query_id, vec_id, score): each query's `top` best of every segment within reach of its own, each pair once."""
+    curves, widest = len(model.axes), len(model.bounds[0])
+
+    def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, x in _parts(batches, d):
-            segment = model.segments(x, ids, False)
+            own = model.segments(x, ids, False)
             many = np.repeat(np.arange(len(ids)), curves)
-            yield _placed(ids[many], np.tile(np.arange(curves), len(ids)), segment.ravel(), False, np.full(len(many), -np.inf), segment[many], x[many])
-            ask = np.flatnonzero(ids % every == 0)
-            if not len(ask):
-                continue
-            q, own = x[ask], model.segments(x[ask], ids[ask], True)
-            like = q @ floor.value.T
-            like = like - 1e-9 * (1 + np.abs(like))
-            need = np.partition(like, -top - 1, axis=1)[:, -top - 1] if like.shape[1] > top else np.full(len(ask), -np.inf)
+            yield _placed(ids[many], np.tile(np.arange(curves), len(ids)), own.ravel(), False, np.full(len(many), -np.inf), own[many], x[many])
+
+    def place_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _parts(batches, d):
+            own, need = model.segments(x, ids, True), np.full(len(ids), -np.inf)
+            if floor is not None:
+                like = x @ floor.value.T
+                like = like - 1e-9 * (1 + np.abs(like))
+                if like.shape[1] > top:
+                    need = np.partition(like, -top - 1, axis=1)[:, -top - 1]
             for step in range(-reach, reach + 1):
                 to = own + step
                 r, c = np.nonzero((to >= 0) & (to <= widest))
                 if len(r):
-                    yield _placed(ids[ask][r], c, to[r, c], True, need[r], own[r], q[r])
+                    yield _placed(ids[r], c, to[r, c], True, need[r], own[r], x[r])
 
     def compare(table: pa.Table) -> pa.Table:
         is_query = table.column("query").to_numpy(zero_copy_only=False)
@@ -175,6 +206,7 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, curves: int =
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float64).reshape(len(ids), d)
         segment = np.frombuffer(b"".join(table.column("segments").to_pylist()), np.int32).reshape(len(ids), curves)
         ask, have = np.flatnonzero(is_query), np.flatnonzero(~is_query)
+        have = have[np.argsort(ids[have], kind="stable")]
         out_q, out_v = [], []
         c = int(curve[0])
         for s in range(0, len(ask) if len(have) else 0, 128):
@@ -190,24 +222,9 @@ def search(vectors: DataFrame, top: int = TOP, every: int = EVERY, curves: int =
         v = np.concatenate(out_v) if out_v else np.zeros(0, np.int64)
         return pa.table({"query_id": ids[q], "vec_id": ids[v], "score": (x[q] * x[v]).sum(1)})
 
-    placed = rows.mapInArrow(place, "vec_id long, curve int, segment int, query boolean, need double, segments binary, x binary")
-    met = placed.groupBy("curve", "segment").applyInArrow(compare, "query_id long, vec_id long, score double")
-    def from_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, x in _parts(batches, d):
-            for s in range(0, len(ids), 256):
-                own, q = ids[s : s + 256], x[s : s + 256]
-                scores = q @ floor.value.T
-                scores[own[:, None] == some_ids[None, :]] = -np.inf
-                cols = best(scores, some_ids, top)
-                i = np.repeat(np.arange(len(own)), [len(c) for c in cols])
-                j = np.concatenate(cols)
-                yield pa.record_batch({"query_id": own[i], "vec_id": some_ids[j], "score": (q[i] * floor.value[j]).sum(1)})
-
-    asked = rows.where(F.col("vec_id") % every == 0)
-    met = met.unionByName(asked.mapInArrow(from_sample, "query_id long, vec_id long, score double")).distinct()
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    kind = "vec_id long, curve int, segment int, query boolean, need double, segments binary, x binary"
+    placed = rows.mapInArrow(place_rows, kind).unionByName(queries.mapInArrow(place_queries, kind))
+    return placed.groupBy("curve", "segment").applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def _placed(ids: np.ndarray, curve: np.ndarray, segment: np.ndarray, query: bool, need: np.ndarray, segments: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
@@ -217,30 +234,41 @@ def _placed(ids: np.ndarray, curve: np.ndarray, segment: np.ndarray, query: bool
     })
 
 
-def fitted_reach(rows: DataFrame, model: Curves, d: int, top: int, every: int, recall: float) -> int:
-    """The least reach whose recall on a bounded sample of queries, each compared with all rows, passes `recall`."""
+def fitted(rows: DataFrame, model: Curves, d: int, top: int, every: int, recall: float) -> tuple[int, int]:
+    """(curves, reach): those with the least segments compared whose windows hold the share `recall` of the neighbours
+    that a bounded sample of queries, each compared with all rows, has."""
     trial = rows.where(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRIALS).toArrow()
     which, q = matrix(trial.column("embedding"), d)
     names = trial.column("vec_id").to_numpy()[which]
     if not len(q):
-        return 0
+        return 1, 0
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0, len(model.axes)), np.int32)]
+        score, who, where = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0, len(model.axes)), np.int32)
         for ids, x in _parts(batches, d):
-            scores = q @ x.T
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            segment = np.broadcast_to(model.segments(x, ids, False), (len(q), len(ids), len(model.axes)))
-            kept = [np.concatenate([a, b], axis=1) for a, b in zip(kept, (scores, np.broadcast_to(ids, scores.shape), segment), strict=True)]
-            cut = np.argsort(-kept[0], axis=1, kind="stable")[:, :top]
-            kept = [np.take_along_axis(kept[0], cut, 1), np.take_along_axis(kept[1], cut, 1), np.take_along_axis(kept[2], cut[:, :, None], 1)]
-        i, j = np.nonzero(kept[0] > -np.inf)
-        yield pa.record_batch({"q": pa.array(i.astype(np.int32)), "vec_id": kept[1][i, j], "score": kept[0][i, j], "segments": pa.array([s.tobytes() for s in kept[2][i, j]], pa.binary())})
+            new = q @ x.T
+            new[names[:, None] == ids[None, :]] = -np.inf
+            keep = np.argpartition(-new, min(top, new.shape[1]) - 1, axis=1)[:, :top]
+            own = model.segments(x, ids, False)
+            score, who = np.concatenate([score, np.take_along_axis(new, keep, 1)], axis=1), np.concatenate([who, ids[keep]], axis=1)
+            where = np.concatenate([where, own[keep]], axis=1)
+            cut = np.argsort(-score, axis=1, kind="stable")[:, :top]
+            score, who, where = np.take_along_axis(score, cut, 1), np.take_along_axis(who, cut, 1), np.take_along_axis(where, cut[:, :, None], 1)
+        i, j = np.nonzero(score > -np.inf)
+        yield pa.record_batch({"q": pa.array(i.astype(np.int32)), "vec_id": who[i, j], "score": score[i, j], "segments": pa.array([s.tobytes() for s in where[i, j]], pa.binary())})
 
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     found = rows.mapInArrow(nearest, "q int, vec_id long, score double, segments binary").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= top)
     got = found.select("q", "segments").toArrow()
     own = model.segments(q, names, True)[got.column("q").to_numpy()]
     other = np.frombuffer(b"".join(got.column("segments").to_pylist()), np.int32).reshape(-1, len(model.axes))
-    apart = np.abs(own - other).min(1, initial=1 << 30)
-    return int(np.quantile(apart, recall, method="higher")) if len(apart) else 0
+    apart = np.minimum.accumulate(np.abs(own - other), axis=1)
+    if not len(apart):
+        return 1, 0
+    all_ = len(model.bounds[0]) + 1
+    options = []
+    for n in range(min(LEAST_CURVES, len(model.axes)), len(model.axes) + 1):
+        reach = int(np.quantile(apart[:, n - 1], recall, method="higher"))
+        options.append((n * min(all_, 2 * reach + 1), n, reach))
+    _, n, reach = min(options)
+    return n, reach

@@ -1,16 +1,23 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its NEAREST pivots in order; two vectors become candidates when they share SHARED of them.
-Inverted lists stand under combinations of SHARED pivots, so a list holds exactly the vectors whose shared-pivot count
-with one another reaches it. Within a list all pairs are compared in double precision, in blocks of at most BLOCK rows
-against BLOCK rows; a pair that shares several lists counts in the one under its first SHARED common pivots only. A
-block gives back, for each of its vectors, a number of links and the smallest id it hangs together with: pairs
-themselves are never listed, so a group of thousands costs their comparison, not their rows.
-
-Pivots are fitted on a bounded sample (SAMPLE vectors by hash of the id), spread as far apart as it allows; all vectors
-are indexed. Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components link with nothing; rows with a null id likewise, with a null component, not kept; rows that repeat an id
-are one vector and do not link with themselves; an empty table gives an empty result; other columns are not read.
+Equal vectors are one class from the start, with the number of its ids. Each class is described by its NEAREST pivots
+in order of nearness. Inverted lists stand under sets of SHARED pivots, at least one of them among the LEAD first of
+the order: two classes meet in a list exactly if their shared-pivot count reaches SHARED on pivots of which each has
+one in front. First only ids and permutations are listed; vectors travel to lists of two and more.
+
+Within a list all pairs are compared in double precision, in blocks of at most BLOCK rows against BLOCK rows; a pair
+that meets in several lists counts in the least of them. A block gives back, for each of its classes, a number of links
+and the smallest id it hangs together with: pairs themselves are never listed, so a group of thousands costs its
+comparison, not its rows.
+
+Pivots are fitted on a bounded sample (SAMPLE vectors by hash of the id), spread as far apart as it allows; their
+number grows with the cube root of the classes, so that lists of SHARED = 3 pivots stay as long as they are. All
+vectors are indexed.
+
+Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components link
+with nothing; rows with a null id likewise, with a null component, not kept; rows that repeat an id are one vector, the
+least of the valid ones component by component, and each of them has its result; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm._graph import components
-from tagweave.llm._store import written
-from tagweave.llm._vectors import matrix, norms, sample, usual_length
+from tagweave.llm._store import drop_written, written
+from tagweave.llm._vectors import matrix, norms, one_each, sample, usual_length
 
-PIVOTS, NEAREST, SHARED = 256, 6, 3
-SAMPLE, BLOCK, GROUP = 4096, 2048, 20_000
+PIVOTS_A_ROOT, MOST_PIVOTS = 7, 8192
+NEAREST, SHARED, LEAD = 6, 3, 2
+SAMPLE, BLOCK, GROUP, SMALL = 4096, 2048, 20_000, 48
 LEAST = 0.9
 
 
@@ -50,24 +58,34 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(top, np.take_along_axis(-like, top, 1).argsort(1, kind="stable"), 1)
 
 
-def _lists(code: np.ndarray, shared: int) -> np.ndarray:
-    """Keys of all combinations of `shared` of each row's pivots, rising."""
-    code = np.sort(code, axis=1).astype(np.int64)
-    out = np.zeros((len(code), 0), np.int64)
-    made = [sum(code[:, c] << (16 * i) for i, c in enumerate(reversed(pick))) for pick in combinations(range(code.shape[1]), shared)]
-    return np.stack(made, axis=1) if made else out
-
-
-def _first_shared(a: np.ndarray, b: np.ndarray, shared: int) -> np.ndarray:
-    """The list under which pairs of codes count: their first `shared` common pivots."""
-    a, b = np.sort(a, axis=1), np.sort(b, axis=1)
-    common = (a[:, :, None] == b[:, None, :]).any(2)
-    place = np.cumsum(common, axis=1)
-    key = np.zeros(len(a), np.int64)
-    for i in range(shared):
-        at = (common & (place == i + 1)).argmax(1)
-        key = (key << 16) | a[np.arange(len(a)), at].astype(np.int64)
-    return key
+def list_keys(code: np.ndarray, shared: int, lead: int) -> np.ndarray:
+    """Keys of all sets of `shared` of each row's pivots with one of the first `lead`, in rising order."""
+    picks = [p for p in combinations(range(code.shape[1]), shared) if p[0] < lead]
+    if not shared or not picks:
+        return np.zeros((len(code), 0), np.int64)
+    made = []
+    for pick in picks:
+        own = np.sort(code[:, pick], axis=1).astype(np.int64)
+        made.append(sum(own[:, i] << (16 * (shared - 1 - i)) for i in range(shared)))
+    return np.sort(np.stack(made, axis=1), axis=1)
+
+
+def _met_before(keys: np.ndarray, here: int) -> np.ndarray:
+    """Which pairs of rows have a list in common that comes before `here`."""
+    row, column = np.nonzero(keys < here)
+    names, back, times = np.unique(keys[row, column], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times > 1)
+    place = np.full(len(names), -1)
+    place[some] = np.arange(len(some))
+    to = place[back]
+    row, to = row[to >= 0], to[to >= 0]
+    out = np.zeros((len(keys), len(keys)), bool)
+    for low in range(0, len(some), 1024):
+        own = (to >= low) & (to < low + 1024)
+        x = np.zeros((len(keys), min(1024, len(some) - low)), np.float32)
+        x[row[own], to[own] - low] = 1
+        out |= x @ x.T > 0
+    return out
 
 
 def _together(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -80,12 +98,18 @@ def _together(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         low = new
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, pivots: int = PIVOTS, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
+def near_duplicates(
+    vectors: DataFrame, least: float = LEAST, pivots: int | None = None, nearest: int = NEAREST, shared: int = SHARED, lead: int = LEAD, block: int = BLOCK, small: int = SMALL
+) -> DataFrame:
     """vectors (vec_id, embedding) -> (vec_id, n_links, component_id, kept) for every row."""
     rows = vectors.select("vec_id", "embedding")
     d = usual_length(rows)
-    _, some = sample(rows, d, SAMPLE)
-    base = spread_pivots(some, pivots) if len(some) else np.zeros((0, d))
+    one = written(one_each(rows, d), "vectors")
+    classes = one.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes, "classes")
+    _, some = sample(classes.withColumnRenamed("rep", "vec_id"), d, SAMPLE)
+    wanted = pivots or min(MOST_PIVOTS, int(np.ceil(PIVOTS_A_ROOT * classes.count() ** (1 / 3))))
+    base = spread_pivots(some, wanted) if len(some) else np.zeros((0, d))
     k = min(nearest, len(base))
     m = min(shared, k)
 
@@ -94,89 +118,86 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, pivots: int = PIVO
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 which, x = matrix(batch.column("embedding"), d)
-                ids = batch.column("vec_id").take(pa.array(which))
-                known = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
-                x = x[known]
                 if not len(x) or not m:
                     continue
                 code = nearest_pivots(x, base, k).astype(np.int16)
-                keys = _lists(code, m)
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                codes = pa.array([c.tobytes() for c in code], pa.binary())
+                keys = list_keys(code, m, lead)
                 many = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
-                yield pa.record_batch({"list": pa.array(keys.ravel()), "vec_id": ids.take(pa.array(known)).take(many), "code": codes.take(many), "x": raw.take(many)})
+                codes = pa.array([c.tobytes() for c in code], pa.binary())
+                yield pa.record_batch({"list": pa.array(keys.ravel()), "rep": batch.column("rep").take(pa.array(which)).take(many), "code": codes.take(many)})
 
-    posted = rows.dropDuplicates(["vec_id", "embedding"]).mapInArrow(describe, "list long, vec_id long, code binary, x binary")
+    posted = classes.select("rep", "embedding").mapInArrow(describe, "list long, rep long, code binary")
     size = written(posted.groupBy("list").agg(F.count("*").alias("n")).where("n > 1"), "lists")
     total = size.agg(F.sum("n").alias("n")).first()["n"] or 0
     groups = max(1, -(-total // GROUP))
-    posted = posted.join(size, "list").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    posted = posted.withColumn("own", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    posted = posted.join(size, "list").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
+    posted = posted.withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int")).join(classes, "rep")
+    posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     posted = posted.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
     posted = posted.withColumn("g", F.pmod(F.xxhash64("list", "p", "q"), F.lit(groups)))
 
     def compare(table: pa.Table) -> pa.Table:
-        key, p, q, own, ids = (table.column(c).to_numpy() for c in ("list", "p", "q", "own", "vec_id"))
+        key, p, q, own, ids, copies = (table.column(c).to_numpy() for c in ("list", "p", "q", "own", "rep", "copies"))
         code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int16).reshape(len(key), k)
+        flat = table.column("embedding").combine_chunks()
+        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+        raw = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(key), d)
         order = np.lexsort((ids, q, p, key))
         edge = np.flatnonzero(np.diff(key[order], prepend=key[order[0]] - 1) | np.diff(p[order], prepend=-1) | np.diff(q[order], prepend=-1))
-        raw = table.column("x").to_pylist()
         out_id, out_n, out_low = [], [], []
         small_a, small_b = [], []
 
-        def vectors_of(at: np.ndarray) -> np.ndarray:
-            x = np.frombuffer(b"".join(raw[i] for i in at.tolist()), np.float64).reshape(len(at), d)
+        def unit(at: np.ndarray) -> np.ndarray:
+            x = raw[at].astype(np.float64)
             return x / norms(x)[:, None]
 
-        def give(at: np.ndarray, linked: np.ndarray) -> None:
-            n = linked.sum(1)
-            got = np.flatnonzero(n)
-            if len(got):
-                out_id.append(ids[at[got]])
-                out_n.append(n[got])
-                out_low.append(_together(linked, ids[at])[got])
-
         for a, b in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist(), strict=True):
             at = order[a:b]
-            if len(at) <= 48:
+            if len(at) <= small:
                 i, j = np.triu_indices(len(at), 1)
                 small_a.append(at[i])
                 small_b.append(at[j])
                 continue
-            x = vectors_of(at)
+            x = unit(at)
             linked = x @ x.T >= least
-            i, j = np.nonzero(linked)
-            ok = ids[at[i]] != ids[at[j]]
+            np.fill_diagonal(linked, False)
             if p[at[0]] != q[at[0]]:
-                ok &= own[at[i]] != own[at[j]]
-            for s in range(0, len(i), 1 << 20):
-                cut = slice(s, s + (1 << 20))
-                ok[cut] &= _first_shared(code[at[i[cut]]], code[at[j[cut]]], m) == key[at[0]]
-            linked[i[~ok], j[~ok]] = False
-            give(at, linked)
+                linked &= own[at][:, None] != own[at][None, :]
+            if linked.any():
+                linked &= ~_met_before(list_keys(code[at], m, lead), key[at[0]])
+            got = np.flatnonzero(linked.any(1))
+            out_id.append(ids[at[got]])
+            out_n.append(linked[got].astype(np.float64) @ copies[at])
+            out_low.append(_together(linked, ids[at])[got])
         if small_a:
             one, two = np.concatenate(small_a), np.concatenate(small_b)
-            ok = (ids[one] != ids[two]) & ((p[one] == q[one]) | (own[one] != own[two]))
+            ok = (p[one] == q[one]) | (own[one] != own[two])
             one, two = one[ok], two[ok]
             for s in range(0, len(one), 1 << 15):
                 i, j = one[s : s + (1 << 15)], two[s : s + (1 << 15)]
                 some, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-                x = vectors_of(some)
-                hit = np.einsum("ij,ij->i", x[back[: len(i)]], x[back[len(i) :]]) >= least
+                x = unit(some)
+                hit = np.flatnonzero(np.einsum("ij,ij->i", x[back[: len(i)]], x[back[len(i) :]]) >= least)
                 i, j = i[hit], j[hit]
-                good = _first_shared(code[i], code[j], m) == key[i]
-                i, j = ids[i[good]], ids[j[good]]
-                out_id += [i, j]
-                out_n += [np.ones(len(i), np.int64)] * 2
-                out_low += [np.minimum(i, j)] * 2
+                left, right = list_keys(code[i], m, lead), list_keys(code[j], m, lead)
+                common = (left[:, :, None] == right[:, None, :]).any(2)
+                good = left[np.arange(len(i)), common.argmax(1)] == key[i]
+                i, j = i[good], j[good]
+                out_id += [ids[i], ids[j]]
+                out_n += [copies[j], copies[i]]
+                out_low += [np.minimum(ids[i], ids[j])] * 2
         if not out_id:
-            return pa.table({"vec_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
-        return pa.table({"vec_id": np.concatenate(out_id), "n": np.concatenate(out_n).astype(np.int64), "low": np.concatenate(out_low)})
+            return pa.table({"rep": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
+        return pa.table({"rep": np.concatenate(out_id), "n": np.concatenate(out_n).astype(np.int64), "low": np.concatenate(out_low)})
 
-    met = posted.select("g", "list", "p", "q", "own", "vec_id", "code", "x").groupBy("g").applyInArrow(compare, "vec_id long, n long, low long")
+    met = posted.select("g", "list", "p", "q", "own", "rep", "copies", "code", "embedding").groupBy("g").applyInArrow(compare, "rep long, n long, low long")
     met = written(met, "links")
-    counts = met.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    joined = components(met.select(F.col("vec_id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "vec_id")
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(joined, "vec_id", "left")
+    drop_written(size)
+    counts = met.groupBy("rep").agg(F.sum("n").alias("links"))
+    joined = components(met.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
+    named = classes.join(counts, "rep", "left").join(joined, "rep", "left")
+    named = named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    each = one.join(named, "embedding").select("vec_id", "links", "component")
     of = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), of.alias("component_id"), F.coalesce(of == F.col("vec_id"), F.lit(False)).alias("kept"))
+    out = rows.select("vec_id").join(each, "vec_id", "left")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), of.alias("component_id"), F.coalesce(of == F.col("vec_id"), F.lit(False)).alias("kept"))
