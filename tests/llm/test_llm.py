@@ -188,6 +188,44 @@ def test_html(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def _text(page):
+    return "\n\n".join(t for t, role in html_text.page_blocks(page) if role == html_text.MAIN)
+
+
+def test_names_take_nothing_from_an_article():
+    assert _text("<article class='post comments-open'><p>a</p></article>") == "a"
+    assert _text("<article><p class='share-price'>a</p><section id='notice-period'><p>b</p></section><p class='ad-free menu-1a'>c</p></article>") == "a\n\nb\n\nc"
+    assert _text("<main id=content class='main sidebar-right'><p>a</p></main>") == "a"
+    assert _text("<article role=main><div role=note>a</div><div class='searching'>b</div></article>") == "a\n\nb"
+
+
+def test_what_stands_beside_an_article_goes():
+    inside = "<div class='comment-list'>x</div><ul id='comments'><li>x</ul><div class=\"ad\">x</div><div class='social share-buttons'>x</div><aside>x</aside><form>x</form><article class=comment>x</article>"
+    assert _text(f"<nav>x</nav><article><p>a</p>{inside}<p>b <span class=ad>x</span> c <button>x</button>d</p></article><footer>x</footer><div class='cookie-notice'>x</div>") == "a\n\nb c d"
+    assert _text("<div class='sidebar-1'><article><p>a</p></article></div>") == "a"
+    roles = [role for _, role in html_text.page_blocks("<header>h</header><div>open</div><nav>n</nav><div role=contentinfo>f</div>")]
+    assert roles == [html_text.BESIDE, html_text.OPEN, html_text.BESIDE, html_text.BESIDE]
+
+
+def test_repeated_blocks_around_the_text_are_found_by_the_array(spark):
+    """Menus in plain elements: repeated ones go, by runs or whole; the same menu declared elsewhere counts too."""
+    menu, note = "home news about contact imprint privacy terms jobs", "short note"
+    rows = [(i, f"http://h/{i}", f"<div>{menu}</div><div>{note}</div><div>own text {i} of a page without an article {i}</div>") for i in range(2)]
+    rows += [(9, "http://h/9", f"<nav>{menu}</nav><footer>{note}</footer><article><p>{menu}</p><p>kept</p></article>"), (10, "http://other/", f"<div>{menu}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(df).collect()}
+    assert got == {0: "own text 0 of a page without an article 0", 1: "own text 1 of a page without an article 1", 9: menu + "\n\nkept", 10: menu}
+    assert html_text.boilerplate(df).count() == 2
+
+
+def test_a_very_long_page_and_clashing_columns(spark):
+    long = "word &amp; " * 300_000
+    df = spark.createDataFrame([(1, None, f"<article><p>{long}</article>", 1, "x"), (1, None, f"<article><p>{long}</article>", 2, "y"), (None, "", "plain", 3, "z")], "page_id long, url string, html string, _row int, _blocks string")
+    rows = html_text.main_text(df).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in rows) == [(0, 5), (1, 2_099_999), (1, 2_099_999)]
+    assert {r["text"] for r in rows if r["page_id"] == 1} == {" ".join(["word &"] * 300_000)}
+
+
 def test_suffix_runs():
     rng = np.random.default_rng(1)
     tokens = rng.integers(0, 6, 400).astype(np.int64)
