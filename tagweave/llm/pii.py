@@ -1,10 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the matches of four base patterns. The words around a seed make lexical patterns (the word before, the two
-words before, the words on both sides); every other token with a digit or an at sign that such a pattern surrounds is
-an instance. On the graph of patterns and instances, confidence goes back and forth: a pattern's is the mean score of
-the distinct instances it surrounds (with at least LEAST_SEEDS of the kind), an instance's is the noisy-or of its
-patterns. Instances that reach ACCEPT are added to the spans, of the kind they scored best for.
+Seeds are the matches of four base patterns. The words around a seed make lexical patterns: the word before, the two
+words before, the words on both sides, and, with the token's shape (its runs of letters and digits), the word before
+and the label before (the first of the three words before that ends in a colon or an equals sign). Every other token
+with a digit or an at sign that such a pattern surrounds is an instance. On the graph of patterns and instances,
+confidence goes back and forth for ROUNDS rounds: a pattern's is the mean score of the distinct instances it surrounds,
+if LEAST_SEEDS of them are seeds or were accepted in the round before; an instance's is the noisy-or of its patterns.
+Instances that reach ACCEPT count as seeds in the next round, so that patterns without a base match of their own are
+learned too, and in the end are added to the spans, of the kind they scored best for.
+
+Context is read NEAR characters far; a word that goes on beyond that is no context.
 
 Offsets are code points, ends exclusive. Base matches are leftmost and do not overlap within a kind; a match that fails
 its check is dropped and not tried again. Patterns are written so that the matcher neither recurses nor scans a long
@@ -36,7 +41,12 @@ PATTERNS = {
 }
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 NEAR = 64
-ROUNDS, LEAST_SEEDS, TRUSTED, ACCEPT = 2, 3, 0.6, 0.8
+ROUNDS, LEAST_SEEDS, TRUSTED, ACCEPT = 3, 3, 0.6, 0.8
+
+
+def _whole(near: Column, length: Column, cut: str) -> Column:
+    """near without the word that the limit of NEAR characters cuts."""
+    return F.when(length > NEAR, F.regexp_replace(near, cut, "")).otherwise(near)
 
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
@@ -48,7 +58,8 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
         before, after = F.get(gaps, i), F.get(gaps, i + 1)
         return F.struct(
             F.lit(kind).alias("kind"), i.alias("i"), F.length(before).alias("gap"), hit.alias("hit"),
-            F.lower(F.substring(before, F.greatest(F.length(before) - NEAR, F.lit(0)) + 1, F.lit(NEAR))).alias("before"), F.lower(F.substring(after, 1, NEAR)).alias("after"),
+            F.lower(_whole(F.substring(before, F.greatest(F.length(before) - NEAR, F.lit(0)) + 1, F.lit(NEAR)), F.length(before), r"^\S++")).alias("before"),
+            F.lower(_whole(F.substring(after, 1, NEAR), F.length(after), r"(?<!\S)\S++$")).alias("after"),
         )
 
     return F.transform(hits, one)
@@ -113,6 +124,7 @@ def placed(found: DataFrame) -> DataFrame:
     return one.where(valid).select(
         "_row", F.when(kind != "token", kind).alias("kind"), "s", (F.col("s") + F.length(value)).alias("e"), value.alias("value"),
         F.regexp_extract("before", r"(?<!\S)(\S++)\s*+$", 1).alias("left"), two.alias("two"), F.regexp_extract("after", r"^\S*+\s++(\S++)", 1).alias("right"),
+        F.regexp_extract("before", r"(?<!\S)(\S*+(?<=[:=]))(?:\s++\S++){0,2}+\s*+$", 1).alias("label"),
     ).where("value <> ''")
 
 
@@ -123,19 +135,20 @@ def discovered(one: DataFrame) -> DataFrame:
     ahead = F.min(F.when(F.col("kind").isNotNull(), F.col("s"))).over(order.rowsBetween(1, Window.unboundedFollowing))
     clear = (F.coalesce(held, F.lit(-1)) <= F.col("s")) & (F.coalesce(ahead, F.lit(2**31 - 1)) >= F.col("e"))
     one = one.withColumn("_clear", clear).where(F.col("kind").isNotNull() | F.col("_clear")).drop("_clear")
-    shapes = F.array(
-        F.when(F.col("left") != "", F.concat(F.lit("1 "), "left")), F.when(F.col("two") != "", F.concat(F.lit("2 "), "two")),
-        F.when((F.col("left") != "") & (F.col("right") != ""), F.concat(F.lit("3 "), "left", F.lit(" _ "), "right")),
+    shape = F.regexp_replace(F.regexp_replace("value", r"\p{L}++", "a"), r"[0-9]++", "9")
+    left, two, right, label = (F.col(c) for c in ("left", "two", "right", "label"))
+    contexts = F.array(
+        F.when(left != "", F.concat(F.lit("1 "), left)), F.when(two != "", F.concat(F.lit("2 "), two)),
+        F.when((left != "") & (right != ""), F.concat(F.lit("3 "), left, F.lit(" _ "), right)),
+        F.when(left != "", F.concat(F.lit("4 "), left, F.lit(" "), shape)), F.when(label != "", F.concat(F.lit("5 "), label, F.lit(" "), shape)),
     )
-    edges = written(one.select(F.explode(F.filter(shapes, lambda x: x.isNotNull())).alias("pattern"), "value", "kind").distinct(), "edges")
+    edges = written(one.select(F.explode(F.filter(contexts, lambda x: x.isNotNull())).alias("pattern"), "value", "kind").distinct(), "edges")
     seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    surrounds = edges.groupBy("pattern").agg(F.count_distinct("value").alias("all"))
-    likely = surrounds.join(edges.where("kind is not null").groupBy("pattern").agg(F.count_distinct("value").alias("sown")).where(F.col("sown") >= LEAST_SEEDS), "pattern")
-    likely = written(likely, "patterns")
-    links = edges.select("pattern", "value").distinct().join(likely, "pattern")
+    likely = edges.groupBy("pattern").agg(F.count_distinct("value").alias("all")).where(F.col("all") >= LEAST_SEEDS)
+    links = written(edges.select("pattern", "value").distinct().join(likely, "pattern"), "links")
     scores = seeds
     for _ in range(ROUNDS):
-        trust = links.join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / F.max("all")).alias("trust"), F.sum((F.col("score") == 1.0).cast("int")).alias("sown"))
+        trust = links.join(scores, "value").groupBy("pattern", "kind").agg((F.sum("score") / F.max("all")).alias("trust"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("sown"))
         trust = trust.where((F.col("trust") >= TRUSTED) & (F.col("sown") >= LEAST_SEEDS))
         new = links.join(trust.select("pattern", "kind", "trust"), "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - 0.95 * F.least("trust", F.lit(1.0)))))).alias("score"))
         new = new.join(seeds.select("value").distinct(), "value", "left_anti")

@@ -374,6 +374,30 @@ def test_pii_discovers_by_context(spark):
     assert got[50] == f"email:{at}:{at + len('someone(at)host7')}" and got[51] == ""
 
 
+def test_pii_bootstraps_beyond_the_first_contexts(spark):
+    """Handles are learned from addresses' context, then make another context known that no address has; labels reach over words."""
+    rows = [f"write to u{i}@mail.example.com today" for i in range(30)]
+    rows += [f"write to user{i}@intern today" for i in range(4)] + [f"account user{i}@intern is closed" for i in range(4)]
+    rows += ["account user77@intern is closed"]
+    rows += [f"phone: my home +1 (555) 010-{i:04d}x ok" for i in range(5)] + ["phone: at work (555)010-4444 ok", "phone: (555)010-5555 ok"]
+    rows += [f"phone: call ({i}55)010-{i:04d} or +1 (555) 019-{i:04d}" for i in range(3)]
+    rows += ["see chapter 7 of " + "w" * 200 + "to user9@nowhere", "room 12 and 14"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [r["spans"] for r in pii.digest(pii.find(df)).orderBy("doc_id").collect()]
+    at = [i for i, t in enumerate(rows) if "user77" in t][0]
+    assert got[at] == "email:8:21" and all(got[30 + i] == "email:9:21" for i in range(4))
+    assert got[-1] == "" and "email" not in got[-2]
+
+
+def test_pii_in_a_very_long_text(spark):
+    text = "x" * 200_000 + " a@b.cd " + "word " * 200_000 + "10.0.0.1"
+    rows = [(1, text, "k"), (1, text, "k"), (None, "a@b.cd", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    got = sorted((r["doc_id"] or 0, r["spans"]) for r in pii.digest(pii.find(df)).collect())
+    ip = len(text) - len("10.0.0.1")
+    assert got == [(0, "email:0:6"), *[(1, f"email:200001:200007,ip:{ip}:{len(text)}")] * 2]
+
+
 def test_mixing(spark, docs):
     mixed = mixing.mix(docs).collect()
     assert len(mixed) == docs.count() and all(0 <= r["taken"] <= 3 * r["size"] for r in mixed)
