@@ -31,7 +31,7 @@ from tagweave.llm._squeeze import expand, fragment_count, runs, squeeze
 from tagweave.llm._store import written
 
 WINDOW, GRAM = 20, 3
-PIECE = 4 << 20
+PIECE, SLICE = 4 << 20, 1 << 19
 SHARD_WINDOWS = 150_000
 LAST = (1 << 63) - 1
 _U = np.uint64
@@ -77,21 +77,24 @@ def _listed(table: pa.Table) -> list[tuple]:
     return list(zip(*(table.column(i).to_pylist() for i in range(table.num_columns)), strict=True))
 
 
-def recurring(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def recurring(docs: DataFrame, window: int = WINDOW, fragments: int | None = None) -> DataFrame:
     """docs (key, doc_id, text) -> (key, doc_id, n_words, sha, stretches) of every row: where windows may occur elsewhere too."""
-    fragments = fragment_count(docs)
+    fragments = fragments or fragment_count(docs)
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, batch in zip(_numbers(), pieces(batches, "text", PIECE)):
-            data, off = text_bytes(batch.column("text"))
-            starts, ends, upto = words(data, off)
-            first, _ = within(upto, window)
-            gram = window_hashes(span_hashes(data, starts, ends), window)[first]
+            parts, shas, sizes = [], [], []
+            for piece in pieces([batch], "text", SLICE):  # what is needed on the way does not add up over the batch
+                data, off = text_bytes(piece.column("text"))
+                starts, ends, upto = words(data, off)
+                parts.append(window_hashes(span_hashes(data, starts, ends), window)[within(upto, window)[0]])
+                shas += kept_digests(data, starts, ends, upto, np.ones(len(starts), bool))
+                sizes.append(np.diff(upto))
+            gram = np.concatenate(parts)
             order, begin, _ = runs(gram)
             length = np.diff(np.append(begin, len(order)))
             here = np.sort(order[np.repeat(length > 1, length)])
-            shas = kept_digests(data, starts, ends, upto, np.ones(len(starts), bool))
-            rows = [(b % fragments, b, batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), shas, squeeze(np.diff(upto)), squeeze(here, True), None)]
+            rows = [(b % fragments, b, batch.column("key").to_pylist(), batch.column("doc_id").to_pylist(), shas, squeeze(np.concatenate(sizes)), squeeze(here, True), None)]
             lead = order[begin]
             part, low = ((gram[lead] >> _U(40)) % _U(fragments)).astype(np.int64), gram[lead].astype(np.uint32)
             order = np.argsort((part.astype(_U) << _U(32)) | low)
@@ -228,7 +231,7 @@ def first_places(table: pa.Table, window: int = WINDOW) -> tuple[list[bytes | No
 
 
 def removals(texts: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """texts (key, doc_id, text, stretches) -> (key, gone): ranges of words to remove, from and to by turns."""
+    """texts (key, doc_id, text, stretches) -> (key, id, gone), id being LAST for a null doc_id: ranges of words to remove, from and to by turns."""
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
@@ -294,7 +297,7 @@ def removals(texts: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
         run_sid = np.repeat(sids.astype(np.int64), many)
         order = np.argsort(run_sid, kind="stable")
         run_sid, all_runs = run_sid[order], all_runs[:, order]
-        keys_out, gone_out = [], []
+        keys_out, ids_out, gone_out = [], [], []
         for keys, raw in zip(head.column("keys").to_pylist(), head.column("occ").to_pylist(), strict=True):
             owner, where, sid, ids = np.frombuffer(raw, np.int64).reshape(4, -1)
             low, high = np.searchsorted(run_sid, sid, "left"), np.searchsorted(run_sid, sid, "right")
@@ -310,11 +313,12 @@ def removals(texts: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
                 a_, z_ = a[order][s], np.maximum.accumulate(z[order][s])
                 new = np.flatnonzero(np.concatenate([[True], a_[1:] > z_[:-1]]))
                 keys_out.append(keys[d])
+                ids_out.append(int(ids[np.searchsorted(owner, d)]))
                 gone_out.append(np.stack([a_[new], z_[np.append(new[1:], len(a_)) - 1]], axis=1).ravel().tolist())
-        return pa.table({"key": pa.array(keys_out, pa.int64()), "gone": pa.array(gone_out, pa.list_(pa.int32()))})
+        return pa.table({"key": pa.array(keys_out, pa.int64()), "id": pa.array(ids_out, pa.int64()), "gone": pa.array(gone_out, pa.list_(pa.int32()))})
 
     met = texts.mapInArrow(ship, _SENT).groupBy("g").applyInArrow(locate, "b long, keys array<long>, occ binary, sid int, found binary")
-    return met.groupBy("b").applyInArrow(gather, "key long, gone array<int>")
+    return met.groupBy("b").applyInArrow(gather, "key long, id long, gone array<int>")
 
 
 _VERDICT = pa.schema([("b", pa.int64()), ("keys", pa.list_(pa.int64())), ("occ", pa.binary()), ("sid", pa.int32()), ("found", pa.binary())])
@@ -330,17 +334,21 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep[upto[i] + a : upto[i] + z] = False
         shas = kept_digests(data, starts, ends, upto, keep)
         removed = np.diff(np.concatenate([[0], np.cumsum(~keep)])[upto])
-        yield pa.record_batch({"key": batch.column("key"), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(shas, pa.string())})
+        yield pa.record_batch({"key": batch.column("key"), "id": batch.column("id"), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(shas, pa.string())})
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256), a row for each row."""
+def dedup(docs: DataFrame, window: int = WINDOW, fragments: int | None = None, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256), a row for each row.
+
+    Rows are told apart by their id and a hash of it and the text together; equal rows have equal results.
+    """
+    id_ = F.coalesce("doc_id", F.lit(LAST)).alias("id")
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
-    found = written(recurring(rows, window), "recurring")
-    some = found.where(F.size("stretches") > 0).select("key", "stretches").dropDuplicates(["key"])
-    texts = written(rows.join(some, "key"), "texts")
+    found = written(recurring(rows, window, fragments), "recurring").withColumn("id", id_)
+    some = found.where(F.size("stretches") > 0).select("key", "id", "stretches").dropDuplicates(["key", "id"])
+    texts = written(rows.withColumn("id", id_).join(some, ["key", "id"]), "texts")
     total = some.agg(F.sum(F.expr("aggregate(stretches, 0L, (n, x) -> n + x.b - x.a + 1)")).alias("n")).first()["n"] or 0
-    gone = removals(texts, max(1, -(-total // SHARD_WINDOWS)), window).dropDuplicates(["key"])
-    cut = texts.select("key", "text").join(gone, "key").mapInArrow(_without, "key long, n_removed long, kept string").dropDuplicates(["key"])
-    out = found.join(cut, "key", "left")
+    gone = removals(texts, max(1, -(-total // shard_windows)), window).dropDuplicates(["key", "id"])
+    cut = texts.select("key", "id", "text").join(gone, ["key", "id"]).mapInArrow(_without, "key long, id long, n_removed long, kept string").dropDuplicates(["key", "id"])
+    out = found.join(cut, ["key", "id"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
