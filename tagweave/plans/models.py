@@ -12,15 +12,15 @@ from tagweave.plans.registry import register as q
 from tagweave.plans.views import sql, table
 from tagweave.sources.store import saved
 
-_PAIR = "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS x, b.v AS y FROM emb a JOIN emb b ON b.vec_id = (a.vec_id * 7 + 1) % 500) "
+_PAIR = "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS x, b.v AS y FROM emb a JOIN emb b ON b.vec_id = (a.vec_id * 7 + 1) % (SELECT count(*) FROM embeddings)) "
 _COS = "list_inner_product(x, y) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)))"
 _ANG = "1 - acos(greatest(least({}, 1e0), -1e0)) / pi()"
 
 
 def _pairs(s, d):
     v = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    a, b = v.toDF("a", "x"), v.toDF("b", "y")
-    return a.join(b, F.col("b") == (F.col("a") * 7 + 1) % 500)
+    a, b = v.toDF("a", "x").withColumn("_s", F.col("a") * 7 + 1), v.toDF("b", "y")
+    return V.modulo(a, V.size(v), "_s", "b").join(b, "b")
 
 
 def _vector(name, make, duck):
@@ -256,7 +256,7 @@ def _(s, d):
     return embed.without_direction(e, embed.principal_direction(e))
 
 
-_NN = "WITH pt AS (SELECT vec_id AS id, v FROM emb WHERE vec_id < 500), ds AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda t: abs(t[1] - t[2]))) AS d FROM pt a CROSS JOIN pt b), nn AS (SELECT * FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM ds) WHERE rank <= 16), ep AS (SELECT avg(d) AS epsilon FROM nn) "
+_NN = "WITH pt AS (SELECT vec_id AS id, v FROM emb), ds AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda t: abs(t[1] - t[2]))) AS d FROM pt a CROSS JOIN pt b), nn AS (SELECT * FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM ds) WHERE rank <= 16), ep AS (SELECT avg(d) AS epsilon FROM nn) "
 _CLUSTER = _NN.replace("WITH pt", "WITH RECURSIVE pt").rstrip() + ", cp AS (SELECT a, b, d FROM ds, ep WHERE a < b AND d <= epsilon), bi AS (SELECT a, b FROM cp UNION SELECT b, a FROM cp), rc AS (SELECT id, id AS c FROM pt UNION SELECT bi.b, rc.c FROM rc JOIN bi ON bi.a = rc.id AND rc.c < bi.b), lb AS (SELECT id, min(c) AS cluster FROM rc GROUP BY id) "
 
 
@@ -298,7 +298,7 @@ def _(s, d):
     return c.join(F.broadcast(top), "cluster", "left_semi").select("id")
 
 
-_MEDOID = _CLUSTER.rstrip() + ", cm AS (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM lb JOIN pt USING (id)) GROUP BY 1, 2), cv AS (SELECT cluster, list(m ORDER BY pos) AS m FROM cm GROUP BY 1), md AS (SELECT cluster, id, v FROM (SELECT cluster, id, v, row_number() OVER (PARTITION BY cluster ORDER BY round(list_distance(v, m), 9), id) AS n FROM lb JOIN pt USING (id) JOIN cv USING (cluster)) WHERE n = 1), tg AS (SELECT event_id AS id, unnest([event_type, 'k' || regexp_extract(props, '\"k\": *([0-9]+)', 1)]) AS hashtag, generate_subscripts([1, 2], 1) - 1 AS pos FROM events WHERE event_id < 500), ct AS (SELECT cluster, hashtag, count(*) AS n, min(id * 10 + pos) AS f FROM tg JOIN lb USING (id) GROUP BY 1, 2), cr AS (SELECT cluster, hashtag, n, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, f) AS rank FROM ct) "
+_MEDOID = _CLUSTER.rstrip() + ", cm AS (SELECT cluster, pos, avg(x) AS m FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM lb JOIN pt USING (id)) GROUP BY 1, 2), cv AS (SELECT cluster, list(m ORDER BY pos) AS m FROM cm GROUP BY 1), md AS (SELECT cluster, id, v FROM (SELECT cluster, id, v, row_number() OVER (PARTITION BY cluster ORDER BY round(list_distance(v, m), 9), id) AS n FROM lb JOIN pt USING (id) JOIN cv USING (cluster)) WHERE n = 1), tg AS (SELECT event_id AS id, unnest([event_type, 'k' || regexp_extract(props, '\"k\": *([0-9]+)', 1)]) AS hashtag, generate_subscripts([1, 2], 1) - 1 AS pos FROM events), ct AS (SELECT cluster, hashtag, count(*) AS n, min(id * 10 + pos) AS f FROM tg JOIN lb USING (id) GROUP BY 1, 2), cr AS (SELECT cluster, hashtag, n, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, f) AS rank FROM ct) "
 
 
 def _rec(body: str) -> str:

@@ -21,7 +21,7 @@ _MIX = _NORM.rstrip() + ", mx AS (SELECT query, hashtag, round(0.6e0 * s + 0.4e0
 
 
 def _model(s, d, **more):
-    return R.Popularity(least=V.table(s, d, "events").count() // 100, **more).fit(V.events(s, d, embedding=True))
+    return R.Popularity(least=V.size(V.table(s, d, "events")).select(F.expr("_n div 100")), **more).fit(V.events(s, d, embedding=True))
 
 
 def _asked(s, d):

@@ -78,7 +78,7 @@ def _(s, d):
     return e.where("retweet_count > 0").select("id", F.lit("popular").alias("part")).unionByName(e.where("retweet_count = 0").select("id", F.lit("unpopular").alias("part")))
 
 
-@q("drop_null_embedding", sql("ev", "SELECT id FROM ev LEFT JOIN embeddings ON vec_id = id % 700 AND vec_id < 500 WHERE embedding IS NOT NULL"))
+@q("drop_null_embedding", sql("ev", "SELECT id FROM ev LEFT JOIN embeddings ON vec_id = id % 700 WHERE embedding IS NOT NULL"))
 def _(s, d):
     v = table(s, d, "embeddings").select("vec_id", "embedding")
     return V.events(s, d).join(v, F.col("vec_id") == F.col("id") % 700, "left").na.drop(subset=["embedding"]).select("id")
@@ -112,18 +112,19 @@ def _(s, d):
     return V.events(s, d).where(F.exists("hashtags", lambda x: (F.lower(x) == "click") | x.contains("k9"))).select("id")
 
 
-@q("join_embeddings", sql("ev emb", "SELECT ev.id, a.label::BIGINT AS la, b.label::BIGINT AS lb FROM ev JOIN emb a ON a.vec_id = id % 500 JOIN emb b ON b.vec_id = (id + 1) % 500"))
+@q("join_embeddings", sql("ev emb", "SELECT ev.id, a.label::BIGINT AS la, b.label::BIGINT AS lb FROM ev JOIN emb a ON a.vec_id = id % (SELECT count(*) FROM embeddings) JOIN emb b ON b.vec_id = (id + 1) % (SELECT count(*) FROM embeddings)"))
 def _(s, d):
     v = table(s, d, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
-    e = V.events(s, d).select("id")
+    e, n = V.events(s, d).select("id", (F.col("id") + 1).alias("after")), V.size(v)
     a, b = v.toDF("va", "la"), v.toDF("vb", "lb")
-    return e.join(a, F.col("va") == F.col("id") % 500).join(b, F.col("vb") == (F.col("id") + 1) % 500).select("id", "la", "lb")
+    return V.modulo(V.modulo(e, n, "id", "va"), n, "after", "vb").join(a, "va").join(b, "vb").select("id", "la", "lb")
 
 
-@q("join_lemmas", sql("ev tok", "SELECT CAST(id AS VARCHAR) AS id_str, CAST(id % 200 AS VARCHAR) AS doc_temp, CAST(len(toks[1:32]) AS BIGINT) AS n FROM ev JOIN tok ON CAST(doc_id AS VARCHAR) = CAST(id % 200 AS VARCHAR)"))
+@q("join_lemmas", sql("ev tok", "WITH e AS (SELECT id, id % (SELECT count(*) FROM documents) AS d FROM ev) SELECT CAST(id AS VARCHAR) AS id_str, CAST(d AS VARCHAR) AS doc_temp, CAST(len(toks) AS BIGINT) AS n FROM e JOIN tok ON CAST(doc_id AS VARCHAR) = CAST(d AS VARCHAR)"))
 def _(s, d):
-    e = V.events(s, d).select(F.col("id").cast("string").alias("id_str"), (F.col("id") % 200).cast("string").alias("doc"))
-    t = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_temp"), F.size(F.slice(text.tokens(F.col("text")), 1, 32)).cast("long").alias("n"))
+    docs = table(s, d, "documents")
+    e = V.modulo(V.events(s, d).select("id"), V.size(docs), "id", "doc").select(F.col("id").cast("string").alias("id_str"), F.col("doc").cast("string").alias("doc"))
+    t = docs.select(F.col("doc_id").cast("string").alias("doc_temp"), F.size(text.tokens(F.col("text"))).cast("long").alias("n"))
     return e.join(t, F.col("doc") == F.col("doc_temp")).select("id_str", "doc_temp", "n")
 
 
@@ -301,10 +302,10 @@ def _fn(name: str, spark_expr, duck: str, source: str = "documents", key: str =
 _fn("lower", lambda: [F.lower(F.col("lang")).alias("x"), F.lower(F.col("source")).alias("y")], "lower(lang) AS x, lower(source) AS y")
 _fn("split_first", lambda: [text.split_first(F.col("text"), ".").alias("x")], "split_part(text, '.', 1) AS x")
 _fn("key_value", lambda: [text.key_of(F.concat_ws(":", "lang", "source")).alias("k"), text.value_of(F.concat_ws(": ", "lang", "source")).alias("v")], "lang AS k, source AS v")
-_fn("split_ws", lambda: [F.size(text.split_ws(F.trim(F.substring("text", 1, 200)))).cast("long").alias("n")], r"CAST(len(regexp_split_to_array(trim(substr(text, 1, 200)), '\s+')) AS BIGINT) AS n")
+_fn("split_ws", lambda: [F.size(text.split_ws(F.trim("text"))).cast("long").alias("n")], r"CAST(len(regexp_split_to_array(trim(text), '\s+')) AS BIGINT) AS n")
 _fn("split_space", lambda: [F.size(F.split("text", " ")).cast("long").alias("n")], "CAST(len(string_split(text, ' ')) AS BIGINT) AS n")
 _fn("join", lambda: [F.array_join(F.array("lang", "source"), " ").alias("x")], "lang || ' ' || source AS x")
-_fn("clean_lemmas", lambda: [F.array_join(text.clean_lemmas(F.split(F.substring("text", 1, 300), " ")), " ").alias("x")], r"array_to_string(list_filter(list_transform(string_split(substr(text, 1, 300), ' '), lambda x: trim(regexp_replace(x, '[!-/:-@\[-`{-~]', '', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+')), ' ') AS x")
+_fn("clean_lemmas", lambda: [F.array_join(text.clean_lemmas(F.split("text", " ")), " ").alias("x")], r"array_to_string(list_filter(list_transform(string_split(text, ' '), lambda x: trim(regexp_replace(x, '[!-/:-@\[-`{-~]', '', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+')), ' ') AS x")
 _fn("strip_quotes", lambda: [text.strip_quotes(F.col("text")).alias("x")], "translate(text, chr(39) || chr(34), '') AS x")
 _fn("valid_chars", lambda: [text.valid_chars(F.col("text")).alias("x")], r"regexp_replace(text, '[^\x20-\x7Eąćęłńóśźż ĄĆĘŁŃÓŚŹŻ]', '', 'g') AS x")
 _fn("lengths", lambda: [F.length("text").cast("long").alias("chars"), F.size(F.split("text", " ")).cast("long").alias("parts")], "CAST(length(text) AS BIGINT) AS chars, CAST(len(string_split(text, ' ')) AS BIGINT) AS parts")

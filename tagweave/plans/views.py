@@ -4,30 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tagweave.functions import text
 from tagweave.operators import hashtags
 
+TAGS = 5
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def modulo(rows: DataFrame, n: DataFrame, by: str, to: str) -> DataFrame:
+    """rows with `to`, the column `by` modulo the one number that n holds."""
+    return rows.crossJoin(F.broadcast(n.toDF("_n"))).withColumn(to, F.col(by) % F.col("_n")).drop("_n")
+
+
+def size(t: DataFrame) -> DataFrame:
+    return t.agg(F.count("*").alias("_n"))
+
+
 def events(spark: SparkSession, d: str, lemmas: bool = False, embedding: bool = False) -> DataFrame:
     e = table(spark, d, "events")
     count = F.when(F.col("user_id") % 5 == 0, 0).otherwise(F.floor(F.col("value") / 10)).cast("long")
     tags = F.array("event_type", F.concat(F.lit("k"), F.get_json_object("props", "$.k")))
     out = e.select(F.col("event_id").alias("id"), F.concat(F.lit("u"), "user_id").alias("username"), F.col("ts").alias("created_at"), count.alias("retweet_count"), tags.alias("hashtags"))
     if lemmas:
-        docs = table(spark, d, "documents").select(F.col("doc_id").alias("_d"), F.slice(text.tokens(F.col("text")), 1, 32).alias("lemmas"))
-        out = out.withColumn("_d", F.col("id") % 200).join(docs, "_d").drop("_d")
+        t = table(spark, d, "documents")
+        docs = t.select(F.col("doc_id").alias("_d"), text.tokens(F.col("text")).alias("lemmas"))
+        out = modulo(out, size(t), "id", "_d").join(docs, "_d").drop("_d")
     return with_embedding(spark, d, out) if embedding else out
 
 
 def with_embedding(spark: SparkSession, d: str, posts: DataFrame) -> DataFrame:
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return posts.withColumn("_v", F.col("id") % 500).join(v, "_v").drop("_v")
+    t = table(spark, d, "embeddings")
+    v = t.select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return modulo(posts, size(t), "id", "_v").join(v, "_v").drop("_v")
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
@@ -37,13 +49,16 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    tok = table(spark, d, "documents").withColumn("_t", text.tokens(F.col("text")))
-    tags = F.array_sort(F.array_distinct(F.filter(F.slice("_t", 1, 12), lambda x: F.length(x) >= 4)))
-    return tok.select(F.col("doc_id").alias("id"), F.col("source").alias("username"), (F.col("n_chars") % 7).alias("retweet_count"), tags.alias("hashtags"), F.slice("_t", 1, 64).alias("lemmas"))
+    """Posts made of documents: all tokens are lemmas; tags are the TAGS distinct tokens of the text that come first by md5."""
+    t = table(spark, d, "documents").select("doc_id", "source", "n_chars", text.tokens(F.col("text")).alias("_t"))
+    by_hash = F.array_sort(F.transform(F.array_distinct(F.filter("_t", lambda x: F.length(x) >= 4)), lambda x: F.concat(F.md5(x.cast("binary")), x)))
+    tags = F.array_sort(F.transform(F.slice(by_hash, 1, TAGS), lambda x: F.substring(x, 33, 1 << 20)))
+    return t.select(F.col("doc_id").alias("id"), F.col("source").alias("username"), (F.col("n_chars") % 7).alias("retweet_count"), tags.alias("hashtags"), F.col("_t").alias("lemmas"))
 
 
 def common_events(spark: SparkSession, d: str, **more: bool) -> DataFrame:
-    return hashtags.rare_filter(events(spark, d, **more), table(spark, d, "events").count() // 100)
+    least = size(table(spark, d, "events")).select(F.expr("_n div 100"))
+    return hashtags.rare_filter(events(spark, d, **more), least)
 
 
 def common_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -51,10 +66,11 @@ def common_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Every word of the documents view with the vector of its place in the sorted vocabulary, modulo 500."""
+    """Every word of the documents view with the vector whose id is the first 8 hex digits of its md5, modulo their number."""
+    t = table(spark, d, "embeddings")
     words = documents(spark, d).select(F.explode("lemmas").alias("word")).distinct()
-    ranked = words.withColumn("_v", (F.row_number().over(Window.orderBy("word")) - 1) % 500)
-    return ranked.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("vector")), "_v").select("word", "vector")
+    words = words.withColumn("_h", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long"))
+    return modulo(words, size(t), "_h", "_v").join(t.select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("vector")), "_v").select("word", "vector")
 
 
 _TOK = r"tok AS (SELECT doc_id, source, n_chars, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS toks FROM documents)"
@@ -63,13 +79,13 @@ _EV = """ev AS (SELECT event_id AS id, 'u' || user_id AS username, ts AS created
 _EVFLAT = "evflat AS (SELECT id, unnest(hashtags) AS hashtag, generate_subscripts(hashtags, 1) AS pos FROM ev)"
 _EVOK = "evok AS (SELECT hashtag FROM evflat GROUP BY hashtag HAVING count(*) >= (SELECT count(*) // 100 FROM events)), evk AS (SELECT * FROM evflat SEMI JOIN evok USING (hashtag)), evf AS (SELECT ev.* EXCLUDE (hashtags), k.hashtags FROM ev JOIN (SELECT id, list(hashtag ORDER BY pos) AS hashtags FROM evk GROUP BY id) k USING (id))"
 _EMB = "emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-_EVE = "eve AS (SELECT evf.*, v AS embedding FROM evf JOIN emb ON id % 500 = vec_id)"
+_EVE = "eve AS (SELECT evf.*, v AS embedding FROM evf JOIN emb ON id % (SELECT count(*) FROM embeddings) = vec_id)"
 _OD = """od AS (SELECT o_orderkey AS id, 'c' || o_custkey AS username, o_orderdate AS created_at, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS retweet_count,
  list_sort(list_distinct(list(p_type || '_' || p_brand))) AS hashtags FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey, o_custkey, o_orderdate)"""
-_DC = "dc AS (SELECT doc_id AS id, source AS username, n_chars % 7 AS retweet_count, list_sort(list_distinct(list_filter(toks[1:12], lambda x: length(x) >= 4))) AS hashtags, toks[1:64] AS lemmas FROM tok)"
+_DC = "dc AS (SELECT doc_id AS id, source AS username, n_chars % 7 AS retweet_count, list_sort(list_transform(list_sort(list_transform(list_distinct(list_filter(toks, lambda x: length(x) >= 4)), lambda x: md5(x) || x))[1:5], lambda x: x[33:])) AS hashtags, toks AS lemmas FROM tok)"
 _DCFLAT = "dcflat AS (SELECT id, unnest(hashtags) AS hashtag, generate_subscripts(hashtags, 1) AS pos FROM dc)"
 _DCF = "dcok AS (SELECT hashtag FROM dcflat GROUP BY hashtag HAVING count(*) >= 3), dck AS (SELECT * FROM dcflat SEMI JOIN dcok USING (hashtag)), dcf AS (SELECT dc.* EXCLUDE (hashtags), k.hashtags FROM dc JOIN (SELECT id, list(hashtag ORDER BY pos) AS hashtags FROM dck GROUP BY id) k USING (id))"
-_WV = "vocab AS (SELECT DISTINCT unnest(lemmas) AS word FROM dc), wv AS (SELECT word, v AS vector FROM (SELECT word, (row_number() OVER (ORDER BY word) - 1) % 500 AS r FROM vocab) JOIN emb ON r = vec_id)"
+_WV = "vocab AS (SELECT DISTINCT unnest(lemmas) AS word FROM dc), wv AS (SELECT word, v AS vector FROM (SELECT word, CAST('0x' || md5(word)[1:8] AS BIGINT) % (SELECT count(*) FROM embeddings) AS r FROM vocab) JOIN emb ON r = vec_id)"
 _BASE = {
     "ev": [_EV], "evflat": [_EV, _EVFLAT], "evf": [_EV, _EVFLAT, _EVOK], "eve": [_EV, _EVFLAT, _EVOK, _EMB, _EVE], "od": [_OD], "dc": [_TOK, _DC], "dcflat": [_TOK, _DC, _DCFLAT],
     "dcf": [_TOK, _DC, _DCFLAT, _DCF], "wv": [_TOK, _DC, _EMB, _WV], "emb": [_EMB], "tok": [_TOK],
