@@ -85,9 +85,11 @@ def tripartite(posts: DataFrame) -> DataFrame:
 
 
 def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """(i, j, w): how many neighbours two different tags share."""
+    """(i, j, w): how many neighbours two different tags share, in both orders; each pair is counted in one."""
     a, b = edges.withColumnRenamed("hashtag", "i"), edges.withColumnRenamed("hashtag", "j")
-    return a.join(b, ["kind", "other"]).where("i <> j").groupBy("i", "j").agg(F.count("*").alias("w"))
+    half = a.join(b, ["kind", "other"]).where("i < j").groupBy("i", "j").agg(F.count("*").alias("w"))
+    both = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select(both.alias("p"), "w").select("p.i", "p.j", "w")
 
 
 def transition(shared: DataFrame) -> DataFrame:
@@ -96,22 +98,39 @@ def transition(shared: DataFrame) -> DataFrame:
     return shared.join(degree, "j").select("i", "j", (F.col("w") / (F.col("degree") + GUARD)).alias("t"))
 
 
-def walk(matrix: DataFrame, start: DataFrame, damping: float = 0.8, threshold: float = 1e-4, most: int = 100, steps: int | None = None) -> DataFrame:
-    """start (query, tag) -> (query, tag, r): row vector times matrix, with restart; most + 1 updates at most."""
-    matrix = saved(matrix, "matrix")
-    restart = start.select("query", "tag", F.lit(1.0).alias("p"))
+def weighted_degrees(edges: DataFrame) -> DataFrame:
+    """(tag, degree, own): a tag's shared neighbours over all other tags, and its own neighbours. Linear in the edges."""
+    size = edges.groupBy("kind", "other").agg(F.count("*").alias("n"))
+    return edges.join(size, ["kind", "other"]).groupBy(F.col("hashtag").alias("tag")).agg(F.sum(F.col("n") - 1).alias("degree"), F.count("*").alias("own"))
+
+
+def walk(edges: DataFrame, start: DataFrame, damping: float = 0.8, threshold: float = 1e-4, most: int = 100, steps: int | None = None) -> DataFrame:
+    """start (query, tag) -> (query, tag, r): row vector times transition, with restart; most + 1 updates at most.
+
+    edges (hashtag, kind, other) are the graph. A step goes from tags to their neighbours and back, takes away what came
+    back to the tag itself, and divides by the tag's degree: the product of tags and tags is never made. A walk depends
+    on its start alone, so each start is walked once, however many queries have it. The walks go on until the total
+    change of all is below the threshold.
+    """
+    degrees = saved(weighted_degrees(edges), "degrees")
+    arcs = saved(edges.select(F.col("hashtag").alias("tag"), F.xxhash64("kind", "other").alias("near"), "kind", "other"), "arcs")
+    restart = saved(start.select("tag").distinct().select(F.col("tag").alias("start"), "tag", F.lit(1.0).alias("p")), "starts")
     r = restart.withColumnRenamed("p", "r")
     for i in range(steps or most + 1):
-        flow = r.join(matrix, r["tag"] == matrix["i"]).groupBy("query", "j").agg((damping * F.sum(F.col("r") * F.col("t"))).alias("f")).withColumnRenamed("j", "tag")
-        after = flow.join(restart, ["query", "tag"], "full").select("query", "tag", (F.coalesce("f", F.lit(0.0)) + (1 - damping) * F.coalesce("p", F.lit(0.0))).alias("r"))
+        out = r.join(arcs, "tag").groupBy("start", "near", "kind", "other").agg(F.sum("r").alias("s"))
+        back = out.join(arcs, ["near", "kind", "other"]).groupBy("start", "tag").agg(F.sum("s").alias("f"))
+        flow = back.join(r, ["start", "tag"], "left").join(degrees, "tag")
+        flow = flow.select("start", "tag", (damping * (F.col("f") - F.coalesce("r", F.lit(0.0)) * F.col("own")) / (F.col("degree") + GUARD)).alias("f"))
+        after = flow.join(restart, ["start", "tag"], "full").select("start", "tag", (F.coalesce("f", F.lit(0.0)) + (1 - damping) * F.coalesce("p", F.lit(0.0))).alias("r"))
         if steps is None or (i + 1) % EVERY == 0:
             after = saved(after, "walk")
         if steps is None and i:
-            d = after.join(r.withColumnRenamed("r", "r0"), ["query", "tag"], "full").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("r0", F.lit(0.0)))).alias("d")).first()["d"]
+            d = after.join(r.withColumnRenamed("r", "r0"), ["start", "tag"], "full").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("r0", F.lit(0.0)))).alias("d")).first()["d"]
             if d is None or d < threshold:
-                return after
+                r = after
+                break
         r = after
-    return r
+    return start.select("query", F.col("tag").alias("start")).join(r, "start").where("r > 0").select("query", "tag", "r")
 
 
 def components(nodes: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:

@@ -103,8 +103,7 @@ def _(s, d):
 
 @q("tags_sharing_user", sql("dcf", _TRI + "SELECT DISTINCT a.hashtag AS i, b.hashtag AS j FROM tri a JOIN tri b ON a.other = b.other AND a.kind = 'user' AND b.kind = 'user' AND a.hashtag <> b.hashtag"))
 def _(s, d):
-    u = _tri(s, d).where("kind = 'user'")
-    return u.select(F.col("hashtag").alias("i"), "other").join(u.select(F.col("hashtag").alias("j"), "other"), "other").where("i <> j").select("i", "j").distinct()
+    return graph.shared_neighbours(_tri(s, d).where("kind = 'user'")).select("i", "j")
 
 
 @q("shared_neighbour_counts", sql("dcf", _SHARED + "SELECT i, j, w FROM sh"))
@@ -114,7 +113,7 @@ def _(s, d):
 
 @q("weighted_degree", sql("dcf", _SHARED + "SELECT j AS tag, degree FROM dg"))
 def _(s, d):
-    return graph.shared_neighbours(_tri(s, d)).groupBy(F.col("i").alias("tag")).agg(F.sum("w").alias("degree"))
+    return graph.weighted_degrees(_tri(s, d)).where("degree > 0").select("tag", "degree")
 
 
 @q("transition_matrix", sql("dcf", _SHARED + "SELECT i, j, round(t, 9) AS t FROM tr"))
@@ -124,11 +123,11 @@ def _(s, d):
 
 _TF = """WITH td AS (SELECT hashtag, lower(token) AS token, count(*) AS tf FROM (SELECT hashtag, unnest(lemmas) AS token FROM dck JOIN dc USING (id)) WHERE length(token) >= 2 GROUP BY 1, 2), idf AS (SELECT token, ln((1e0 + (SELECT count(DISTINCT hashtag) FROM td)) / (1e0 + count(*))) + 1 AS idf FROM td GROUP BY token),
  wt AS (SELECT hashtag, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY hashtag)) AS weight FROM td JOIN idf USING (token)),
- qt AS (SELECT query, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query)) AS weight FROM (SELECT query, lower(token) AS token, count(*) AS tf FROM (SELECT id AS query, unnest(lemmas) AS token FROM dc WHERE id < 10) WHERE length(token) >= 2 GROUP BY 1, 2) JOIN idf USING (token)),
+ qt AS (SELECT query, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY query)) AS weight FROM (SELECT query, lower(token) AS token, count(*) AS tf FROM (SELECT id AS query, unnest(lemmas) AS token FROM dc WHERE id % 20 = 0) WHERE length(token) >= 2 GROUP BY 1, 2) JOIN idf USING (token)),
  sm AS (SELECT query, hashtag, sum(qt.weight * wt.weight) AS similarity FROM qt JOIN wt USING (token) GROUP BY 1, 2) """
-_CLOSE = _TF.rstrip() + ", alltags AS (SELECT DISTINCT hashtag FROM dck), full_sm AS (SELECT q.query, hashtag, coalesce(similarity, 0) AS similarity FROM (SELECT id AS query FROM dc WHERE id < 10) q CROSS JOIN alltags LEFT JOIN sm USING (query, hashtag)), cl AS (SELECT query, hashtag FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, hashtag) AS n FROM full_sm) WHERE n = 1) "
-#: Ten query documents: the feature is ranking for a stated set of queries; all posts are fitted.
-_ASKED = "id < 10"
+_CLOSE = _TF.rstrip() + ", alltags AS (SELECT DISTINCT hashtag FROM dck), full_sm AS (SELECT q.query, hashtag, coalesce(similarity, 0) AS similarity FROM (SELECT id AS query FROM dc WHERE id % 20 = 0) q CROSS JOIN alltags LEFT JOIN sm USING (query, hashtag)), cl AS (SELECT query, hashtag FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(similarity, 9) DESC, hashtag) AS n FROM full_sm) WHERE n = 1) "
+#: The queries are the posts whose id 20 divides; all posts are fitted.
+_ASKED = "id % 20 = 0"
 
 
 def _walk(s, d, steps=None):
@@ -146,7 +145,7 @@ def _(s, d):
 
 @q("tfidf_weights", sql("dcf", _TF + "SELECT hashtag, token, round(weight, 6) AS weight FROM wt"))
 def _(s, d):
-    return tfidf.weights(tfidf.tag_documents(V.common_documents(s, d))).select("hashtag", "token", F.round("weight", 6).alias("weight"))
+    return tfidf.weights(saved(tfidf.tag_documents(V.common_documents(s, d)), "documents")).select("hashtag", "token", F.round("weight", 6).alias("weight"))
 
 
 @q("tfidf_similarity", sql("dcf", _CLOSE + "SELECT query, hashtag, round(similarity, 6) AS similarity FROM full_sm"))
@@ -160,7 +159,7 @@ def _(s, d):
     return w.preference(_asked(s, d), w.similarities(_asked(s, d))).select("query", F.col("tag").alias("hashtag"))
 
 
-_PREF = _CLOSE.rstrip() + ", qtag AS (SELECT id AS query, hashtags[1] AS tag FROM dc WHERE id < 10), pf AS (SELECT cl.query, coalesce(t.hashtag, cl.hashtag) AS tag FROM cl LEFT JOIN qtag USING (query) LEFT JOIN alltags t ON t.hashtag = qtag.tag) "
+_PREF = _CLOSE.rstrip() + ", qtag AS (SELECT id AS query, hashtags[1] AS tag FROM dc WHERE id % 20 = 0), pf AS (SELECT cl.query, coalesce(t.hashtag, cl.hashtag) AS tag FROM cl LEFT JOIN qtag USING (query) LEFT JOIN alltags t ON t.hashtag = qtag.tag) "
 
 
 @q("preference_tags", sql("dcf", _PREF + "SELECT query, tag FROM pf"))
@@ -181,23 +180,33 @@ def _walked(steps: int) -> str:
 def _(s, d):
     w = _walk(s, d)
     start = w.preference(_asked(s, d), w.similarities(_asked(s, d)))
-    return graph.walk(w.matrix, start, 0.8, steps=2).select("query", "tag", F.round("r", 6).alias("r"))
+    return graph.walk(w.edges, start, 0.8, steps=2).select("query", "tag", F.round("r", 6).alias("r"))
 
 
 _WALKRANK = _walked(2) + ", rk AS (SELECT query, hashtag, round(similarity * coalesce(r, 0), 9) AS score FROM full_sm LEFT JOIN r2 ON r2.query = full_sm.query AND r2.tag = full_sm.hashtag) "
 _WALKRANK = _WALKRANK.replace("SELECT query, hashtag, round(similarity", "SELECT full_sm.query, hashtag, round(similarity")
 
 
-@q("rank_graph_walk", sql("dcf", _WALKRANK + "SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, hashtag) AS rank, hashtag FROM rk"))
+@q("rank_graph_walk_iter_k", sql("dcf", _WALKRANK + "SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, hashtag) AS rank, hashtag FROM rk"))
 def _(s, d):
     return _walk(s, d, 2).from_lemmas(_asked(s, d)).select("query", F.col("rank").cast("long").alias("rank"), "hashtag")
 
 
-@q("recommend_graph_walk", sql("dcf", _WALKRANK + "SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, hashtag) AS rank, hashtag, round(score, 6) AS score FROM rk) WHERE rank <= 10"))
+@q("recommend_graph_walk_iter_k", sql("dcf", _WALKRANK + "SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, hashtag) AS rank, hashtag, round(score, 6) AS score FROM rk) WHERE rank <= 10"))
 def _(s, d):
     return _walk(s, d, 2).from_lemmas(_asked(s, d), 10).select("query", F.col("rank").cast("long").alias("rank"), "hashtag", F.round("score", 6).alias("score"))
 
 
+@q("rank_graph_walk")
+def _(s, d):
+    return _walk(s, d).from_lemmas(_asked(s, d)).select("query", F.col("rank").cast("long").alias("rank"), "hashtag")
+
+
+@q("recommend_graph_walk")
+def _(s, d):
+    return _walk(s, d).from_lemmas(_asked(s, d), 10).select("query", F.col("rank").cast("long").alias("rank"), "hashtag", F.round("score", 6).alias("score"))
+
+
 _FOUND = "WITH lk AS (SELECT id, pos, w AS word, vector FROM (SELECT id, unnest(lemmas) AS w, generate_subscripts(lemmas, 1) AS pos FROM dc) JOIN wv ON word = w) "
 
 
@@ -209,10 +218,10 @@ def _(s, d):
 _KNOWN = "WITH kw AS (SELECT * FROM wv WHERE word < 't'), "
 
 
-@q("tweet_embedding_mean", sql("wv", _KNOWN + "lk AS (SELECT id, vector FROM (SELECT id, unnest(lemmas) AS w FROM dc) JOIN kw ON word = w), mm AS (SELECT id, pos, avg(x) AS m FROM (SELECT id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM lk) GROUP BY 1, 2) SELECT dc.id, pos - 1 AS pos, round(m, 6) AS m FROM dc LEFT JOIN mm USING (id)"))
+@q("tweet_embedding_mean", sql("wv", _KNOWN + "lk AS (SELECT id, vector FROM (SELECT id, unnest(lemmas) AS w FROM dc) JOIN kw ON word = w), mm AS (SELECT id, pos, avg(x) AS m FROM (SELECT id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM lk) GROUP BY 1, 2) SELECT dc.id, pos - 1 AS pos, round(m, 6) + 0e0 AS m FROM dc LEFT JOIN mm USING (id)"))
 def _(s, d):
     m = embed.mean_embedding(V.documents(s, d), V.word_vectors(s, d).where("word < 't'"))
-    return m.select("id", F.posexplode_outer("embedding").alias("pos", "m")).select("id", F.col("pos").cast("long").alias("pos"), F.round("m", 6).alias("m"))
+    return m.select("id", F.posexplode_outer("embedding").alias("pos", "m")).select("id", F.col("pos").cast("long").alias("pos"), (F.round("m", 6) + 0.0).alias("m"))
 
 
 @q("oov_rate", sql("wv", _KNOWN + "f AS (SELECT id, unnest(lemmas) AS w FROM dc) SELECT id, round(1 - count(word) / count(*), 6) AS oov FROM f LEFT JOIN kw ON word = w GROUP BY id"))
@@ -239,9 +248,9 @@ def _sif(s, d):
     return embed.weighted_average(p, V.word_vectors(s, d), embed.word_weights(p, least=2))
 
 
-@q("sif_weighted_average", sql("wv", _SIFW.rstrip() + _FOUND.rstrip().replace("WITH lk", ", lk") + ", wl AS (SELECT id, vector, coalesce(weight, 0) AS weight FROM lk LEFT JOIN ww USING (word)) SELECT id, pos - 1 AS pos, round(avg(x * weight), 6) AS m FROM (SELECT id, weight, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM wl) GROUP BY 1, 2"))
+@q("sif_weighted_average", sql("wv", _SIFW.rstrip() + _FOUND.rstrip().replace("WITH lk", ", lk") + ", wl AS (SELECT id, vector, coalesce(weight, 0) AS weight FROM lk LEFT JOIN ww USING (word)) SELECT id, pos - 1 AS pos, round(avg(x * weight), 6) + 0e0 AS m FROM (SELECT id, weight, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM wl) GROUP BY 1, 2"))
 def _(s, d):
-    return _sif(s, d).select("id", F.posexplode("embedding").alias("pos", "m")).select("id", F.col("pos").cast("long").alias("pos"), F.round("m", 6).alias("m"))
+    return _sif(s, d).select("id", F.posexplode("embedding").alias("pos", "m")).select("id", F.col("pos").cast("long").alias("pos"), (F.round("m", 6) + 0.0).alias("m"))
 
 
 @q("sif_principal_component")
@@ -327,19 +336,19 @@ def _(s, d):
     return m.medoids.join(t, "cluster").select("cluster", F.col("id").alias("medoid"), F.array_join(F.transform("t", lambda x: x["hashtag"]), ",").alias("tags"))
 
 
-_CRANK = _MEDOID.rstrip() + ", qd AS (SELECT q.id AS query, cluster, round(1 - list_inner_product(q.v, md.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(md.v, md.v))), 9) AS d FROM pt q CROSS JOIN md WHERE q.id < 20), qc AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, cluster) AS c FROM qd), qr AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY c, rank) AS rank, hashtag FROM qc JOIN cr USING (cluster)) "
+_CRANK = _MEDOID.rstrip() + ", qd AS (SELECT q.id AS query, cluster, round(1 - list_inner_product(q.v, md.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(md.v, md.v))), 9) AS d FROM pt q CROSS JOIN md WHERE q.id % 20 = 0), qc AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, cluster) AS c FROM qd), qr AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY c, rank) AS rank, hashtag FROM qc JOIN cr USING (cluster)) "
 
 
 @q("rank_clusters", _rec(_CRANK + "SELECT * FROM qr"))
 def _(s, d):
     p = _points(s, d)
-    return R.Clusters().fit(p, _tags(s, d)).from_embeddings(p.where("id < 20").withColumnRenamed("id", "query")).select("query", F.col("rank").cast("long").alias("rank"), "hashtag")
+    return R.Clusters().fit(p, _tags(s, d)).from_embeddings(p.where("id % 20 = 0").withColumnRenamed("id", "query")).select("query", F.col("rank").cast("long").alias("rank"), "hashtag")
 
 
 @q("recommend_clusters", _rec(_CRANK + "SELECT * FROM qr WHERE rank <= 10"))
 def _(s, d):
     p = _points(s, d)
-    return R.Clusters().fit(p, _tags(s, d)).from_embeddings(p.where("id < 20").withColumnRenamed("id", "query"), 10).select("query", F.col("rank").cast("long").alias("rank"), "hashtag")
+    return R.Clusters().fit(p, _tags(s, d)).from_embeddings(p.where("id % 20 = 0").withColumnRenamed("id", "query"), 10).select("query", F.col("rank").cast("long").alias("rank"), "hashtag")
 
 
 @q("char_classifier")

@@ -12,10 +12,9 @@ from tagweave.plans.models import _ANG, _RANK, _TAGE
 from tagweave.plans.registry import register as q
 from tagweave.plans.views import sql
 
-#: Twenty query posts: the feature is ranking for a stated set of queries; all posts are fitted.
-_ASKED = "id < 20"
+#: The queries are the vectors whose id 20 divides; all posts are fitted.
 _COSQ = "list_inner_product(q.v, e) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e, e)))"
-_SIM = _TAGE.rstrip() + f", sm AS (SELECT q.vec_id AS query, hashtag, {_ANG.format(_COSQ)} AS sim, mean_retweets AS pop FROM emb q CROSS JOIN prof WHERE q.vec_id < 20) "
+_SIM = _TAGE.rstrip() + f", sm AS (SELECT q.vec_id AS query, hashtag, {_ANG.format(_COSQ)} AS sim, mean_retweets AS pop FROM emb q CROSS JOIN prof WHERE q.vec_id % 20 = 0) "
 _NORM = _SIM.rstrip() + ", nm AS (SELECT query, hashtag, (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-18) AS s, (pop - min(pop) OVER w) / (max(pop) OVER w - min(pop) OVER w + 1e-18) AS p FROM sm WINDOW w AS (PARTITION BY query)) "
 _MIX = _NORM.rstrip() + ", mx AS (SELECT query, hashtag, round(0.6e0 * s + 0.4e0 * p, 9) AS score FROM nm), rk AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, hashtag) AS rank, hashtag, score FROM mx) "
 
@@ -25,7 +24,7 @@ def _model(s, d, **more):
 
 
 def _asked(s, d):
-    return V.table(s, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return V.table(s, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
 def _ranked(df, digits=6):
@@ -74,14 +73,19 @@ def _(s, d):
     return _ranked(_model(s, d).from_embeddings(_asked(s, d), 5)).drop("score")
 
 
-_PR = _RANK.rstrip() + f", pr AS (SELECT substr(node, 2) AS hashtag, x FROM x3 WHERE node LIKE 't%'), sm AS (SELECT q.vec_id AS query, hashtag, {_ANG.format(_COSQ)} AS sim, x AS pop FROM emb q CROSS JOIN prof JOIN pr USING (hashtag) WHERE q.vec_id < 20)" + _MIX[_MIX.index(", nm AS"):]
+_PR = _RANK.rstrip() + f", pr AS (SELECT substr(node, 2) AS hashtag, x FROM x3 WHERE node LIKE 't%'), sm AS (SELECT q.vec_id AS query, hashtag, {_ANG.format(_COSQ)} AS sim, x AS pop FROM emb q CROSS JOIN prof JOIN pr USING (hashtag) WHERE q.vec_id % 20 = 0)" + _MIX[_MIX.index(", nm AS"):]
 
 
-@q("recommend_pagerank", sql("eve", _PR + "SELECT query, rank, hashtag, round(score, 6) AS score FROM rk WHERE rank <= 10"))
+@q("recommend_pagerank_iter_k", sql("eve", _PR + "SELECT query, rank, hashtag, round(score, 6) AS score FROM rk WHERE rank <= 10"))
 def _(s, d):
     return _ranked(_model(s, d, popularity="pagerank", steps=3).from_embeddings(_asked(s, d), 10))
 
 
+@q("recommend_pagerank")
+def _(s, d):
+    return _ranked(_model(s, d, popularity="pagerank").from_embeddings(_asked(s, d), 10))
+
+
 # Evaluation. Truth: a post's tags; prediction: the tags of the post with the next id, then the commonest ones.
 _PRED = """WITH top AS (SELECT list(hashtag ORDER BY n DESC, hashtag)[1:5] AS t FROM (SELECT hashtag, count(*) AS n FROM (SELECT unnest(hashtags) AS hashtag FROM od) GROUP BY 1)), nx AS (SELECT id - 1 AS id, hashtags AS nh FROM od),
  ev2 AS (SELECT id, retweet_count, hashtags AS truth, list_concat(nh, list_filter(t, lambda x: NOT list_contains(nh, x))) AS pred FROM od JOIN nx USING (id), top),

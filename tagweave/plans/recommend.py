@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tagweave.functions.vectors import angular_similarity, cosine
 from tagweave.operators import density, embed, graph, hashtags, tfidf
+from tagweave.sources.store import saved
 
 SCORE_DIGITS = 9
 
@@ -72,16 +73,17 @@ class GraphWalk:
         self.damping, self.threshold, self.most, self.least, self.steps = damping, threshold, most, least, steps
 
     def fit(self, posts: DataFrame) -> GraphWalk:
-        posts = hashtags.rare_filter(posts, self.least)
-        self.matrix = graph.transition(graph.shared_neighbours(graph.tripartite(posts)))
-        self.documents = tfidf.tag_documents(posts)
-        self.weights = tfidf.weights(self.documents)
-        self.tags = posts.select(F.explode("hashtags").alias("hashtag")).distinct()
+        posts = saved(hashtags.rare_filter(posts, self.least), "posts")
+        self.edges = saved(graph.tripartite(posts), "edges")
+        self.documents = saved(tfidf.tag_documents(posts), "documents")
+        self.idf = saved(tfidf.idf(self.documents), "idf")
+        self.weights = saved(tfidf.weights(self.documents, self.idf), "weights")
+        self.tags = saved(self.edges.select("hashtag").distinct(), "tags")
         return self
 
     def similarities(self, queries: DataFrame) -> DataFrame:
         """(query, hashtag, similarity) with a row for every tag."""
-        some = tfidf.similarity(tfidf.query_weights(queries, self.documents), self.weights)
+        some = tfidf.similarity(tfidf.query_weights(queries, self.idf), self.weights)
         return queries.select("query").crossJoin(self.tags).join(some, ["query", "hashtag"], "left").fillna(0.0, ["similarity"])
 
     def preference(self, queries: DataFrame, scores: DataFrame) -> DataFrame:
@@ -94,8 +96,8 @@ class GraphWalk:
         return closest.join(known, "query", "left").select("query", F.coalesce("tag", "closest").alias("tag"))
 
     def from_lemmas(self, queries: DataFrame, k: int | None = None) -> DataFrame:
-        scores = self.similarities(queries)
-        walked = graph.walk(self.matrix, self.preference(queries, scores), self.damping, self.threshold, self.most, self.steps)
+        scores = saved(self.similarities(queries), "scores")
+        walked = graph.walk(self.edges, self.preference(queries, scores), self.damping, self.threshold, self.most, self.steps)
         both = scores.join(walked.select("query", F.col("tag").alias("hashtag"), "r"), ["query", "hashtag"], "left")
         return ranked(both, F.col("similarity") * F.coalesce("r", F.lit(0.0)), k)
 
