@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tagweave.operators.order import quantile_marks
+
 
 def flatten(tags: Column) -> Column:
     """array<struct<text>> as array<string>."""
@@ -68,9 +70,10 @@ def user_popularity(posts: DataFrame) -> DataFrame:
 
 def popularity_bins(users: DataFrame, bins: int = 8) -> DataFrame:
     """Right-closed quantile bins of popularity; equal edges count once."""
-    marks = users.agg(F.percentile("popularity", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("edges")).select(F.array_distinct("edges").alias("edges"))
+    marks = quantile_marks(users, "popularity", [i / bins for i in range(bins + 1)], "username")
+    edges = marks.agg(F.sort_array(F.collect_set("mark")).alias("edges"))
     below = F.size(F.filter("edges", lambda e: e < F.col("popularity")))
-    return users.crossJoin(F.broadcast(marks)).select("username", "popularity", (F.greatest(below, F.lit(1)) - 1).alias("bin"))
+    return users.crossJoin(F.broadcast(edges)).select("username", "popularity", (F.greatest(below, F.lit(1)) - 1).alias("bin"))
 
 
 def stratified(users: DataFrame, share: float = 0.7) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tagweave.functions import metrics as M
+from tagweave.functions.vectors import angular_similarity
+from tagweave.plans.recommend import SCORE_DIGITS, minmax
 
 
 def grid(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
@@ -16,20 +21,6 @@ def grid(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
     return out.drop("id")
 
 
-def commonest(posts: DataFrame, k: int = 5) -> DataFrame:
-    """One row: the k commonest tags, most frequent first."""
-    counts = posts.select(F.explode("hashtags").alias("hashtag")).groupBy("hashtag").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "hashtag").limit(k)
-    return top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "hashtag"))).alias("t")).select(F.transform("t", lambda x: x["hashtag"]).alias("top"))
-
-
-def predictions(posts: DataFrame) -> DataFrame:
-    """(id, retweet_count, truth, predicted): the next post's tags, then the commonest ones."""
-    after = posts.select((F.col("id") - 1).alias("id"), F.col("hashtags").alias("next"))
-    both = posts.select("id", "retweet_count", F.col("hashtags").alias("truth")).join(after, "id").crossJoin(F.broadcast(commonest(posts)))
-    return both.select("id", "retweet_count", "truth", "top", F.concat("next", F.array_except("top", "next")).alias("predicted"))
-
-
 def recommended(rankings: DataFrame, truths: DataFrame) -> DataFrame:
     """rankings (query, rank, hashtag), truths (query, truth) -> (query, truth, predicted); no ranking is an empty one."""
     lists = rankings.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "hashtag"))).alias("r"))
@@ -43,12 +34,42 @@ def measured(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumns({"recall": M.recall(t, p, k), "precision": M.precision(t, p, k), "f1": M.f1(t, p, k), "ap": M.average_precision(t, p, k), "ndcg": M.ndcg(t, p, k)})
 
 
-def grid_search(posts: DataFrame, ks: list[int]) -> DataFrame:
-    """(dataset, method, k, recall, precision, n) of two methods and all k, in one job."""
-    g = grid(posts.sparkSession, {"method": ["next", "common"], "k": ks})
-    rows = predictions(posts).crossJoin(F.broadcast(g))
-    predicted = F.when(F.col("method") == "common", F.col("top")).otherwise(F.col("predicted"))
-    rows = rows.withColumn("predicted", predicted).withColumn("dataset", F.when(F.col("retweet_count") > 0, "popular").otherwise("unpopular"))
-    hits = F.size(F.array_intersect("truth", F.slice("predicted", F.lit(1), F.col("k").cast("int"))))
-    rows = rows.withColumn("recall", hits / F.size("truth")).withColumn("precision", hits / F.least(F.size("predicted"), F.col("k").cast("int")))
-    return rows.groupBy("dataset", "method", "k").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.count("*").alias("n"))
+def evaluate(test: DataFrame, recommend: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """The rows of test (query, truth, ...) with predicted, and the metrics at k of what `recommend` makes of them.
+
+    recommend: a function from test's rows to (query, rank, hashtag), such as a fitted recommender's transform.
+    """
+    lists = recommended(recommend(test.drop("truth")), test.select("query", "truth"))
+    return measured(test.drop("truth").join(lists, "query"), k)
+
+
+def means(rows: DataFrame, metrics: list[str], by: list[str] | None = None) -> DataFrame:
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in metrics])
+
+
+def grid_search(test: DataFrame, profile: DataFrame, popularities: list[str], limits: list[int], ratios: list[float], ks: list[int], total: DataFrame) -> DataFrame:
+    """(dataset, popularity, least, ratio, k, recall, precision, n) of every combination, from one profile.
+
+    test (query, truth, embedding, retweet_count); profile (hashtag, embedding, count, and a column for each of
+    popularities). A limit of l leaves the tags with at least one l-th of `total` occurrences. Similarities are made
+    once; normalisation goes within a query, a popularity and a limit.
+    """
+    spark = test.sparkSession
+    tags = profile.select("hashtag", F.col("embedding").alias("profile"), "count", *popularities)
+    sims = test.select("query", "embedding").crossJoin(tags).withColumn("sim", F.coalesce(angular_similarity(F.col("embedding"), F.col("profile")), F.lit(0.0))).drop("embedding", "profile")
+    some = F.broadcast(grid(spark, {"popularity": popularities, "least": limits}))
+    rows = sims.crossJoin(some).crossJoin(F.broadcast(total.toDF("_total"))).where(F.col("count") >= F.expr("_total div least"))
+    pop = F.coalesce(*[F.when(F.col("popularity") == p, F.col(p)) for p in popularities])
+    key = ["popularity", "least", "query"]
+    rows = rows.withColumn("pop", pop).withColumn("s", minmax("sim", key)).withColumn("p", minmax("pop", key)).select(*key, "hashtag", "s", "p")
+    rows = rows.crossJoin(F.broadcast(grid(spark, {"ratio": ratios}))).withColumn("score", F.round((1 - F.col("ratio")) * F.col("s") + F.col("ratio") * F.col("p"), SCORE_DIGITS))
+    key = ["popularity", "least", "ratio", "query"]
+    order = Window.partitionBy(*key).orderBy(F.desc("score"), "hashtag")
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(ks))
+    lists = top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "hashtag"))).alias("r")).withColumn("predicted", F.transform("r", lambda x: x["hashtag"]))
+    both = lists.join(test.select("query", "truth", "retweet_count"), "query").crossJoin(F.broadcast(grid(spark, {"k": ks})))
+    cut = F.col("k").cast("int")
+    found = F.size(F.array_intersect("truth", F.slice("predicted", F.lit(1), cut)))
+    both = both.withColumn("recall", found / F.size("truth")).withColumn("precision", found / F.least(F.size("predicted"), cut))
+    both = both.withColumn("dataset", F.when(F.col("retweet_count") > 0, "popular").otherwise("unpopular"))
+    return both.groupBy("dataset", "popularity", "least", "ratio", "k").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.count("*").alias("n"))

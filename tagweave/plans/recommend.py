@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tagweave.functions.vectors import angular_similarity, cosine
 from tagweave.operators import density, embed, graph, hashtags, tfidf
+from tagweave.operators.order import in_order
 from tagweave.sources.store import saved
 
 SCORE_DIGITS = 9
@@ -21,8 +22,8 @@ def ranked(scores: DataFrame, score: Column | None = None, k: int | None = None,
     return (out.where(F.col("rank") <= k) if k else out).select("query", "rank", "hashtag", "score")
 
 
-def minmax(column: str) -> Column:
-    w = Window.partitionBy("query")
+def minmax(column: str, key: list[str] | None = None) -> Column:
+    w = Window.partitionBy(*(key or ["query"]))
     return (F.col(column) - F.min(column).over(w)) / (F.max(column).over(w) - F.min(column).over(w) + 1e-18)
 
 
@@ -127,7 +128,7 @@ class Clusters:
 class Characters:
     """Hashed character n-grams and a linear softmax over tags: text to ranked tags."""
 
-    def __init__(self, features: int = 4096, classes: int = 64):
+    def __init__(self, features: int = 4096, classes: int | None = None):
         self.features, self.classes = features, classes
 
     def _features(self, texts: DataFrame) -> DataFrame:
@@ -138,12 +139,12 @@ class Characters:
         return HashingTF(numFeatures=self.features, inputCol="grams", outputCol="features").transform(grams)
 
     def fit(self, posts: DataFrame) -> Characters:
-        """posts (text, hashtag). The commonest `classes` tags are learned."""
+        """posts (text, hashtag). All tags are learned, or the commonest `classes` of them."""
         from pyspark.ml.classification import LogisticRegression
 
-        top = posts.groupBy("hashtag").count().withColumn("label", F.row_number().over(Window.orderBy(F.desc("count"), "hashtag")).cast("double") - 1).where(F.col("label") < self.classes)
-        self.labels = top.select("hashtag", "label")
-        rows = self._features(posts.join(F.broadcast(self.labels), "hashtag"))
+        top = in_order(posts.groupBy("hashtag").count(), F.desc("count"), F.col("hashtag"), name="label").withColumn("label", F.col("label").cast("double") - 1)
+        self.labels = saved((top.where(F.col("label") < self.classes) if self.classes else top).select("hashtag", "label"), "labels")
+        rows = self._features(posts.join(self.labels, "hashtag"))
         self.model = LogisticRegression(maxIter=15, regParam=1e-3).fit(rows.select("features", "label"))
         return self
 
@@ -151,13 +152,13 @@ class Characters:
         from pyspark.ml.functions import vector_to_array
 
         p = self.model.transform(self._features(queries)).select("query", F.posexplode(vector_to_array("probability")).alias("label", "score"))
-        return ranked(p.join(F.broadcast(self.labels), "label"), None, k)
+        return ranked(p.join(self.labels, "label"), None, k)
 
 
 def random_tags(queries: DataFrame, tags: DataFrame, k: int, seed: int) -> DataFrame:
-    """k tags for each query, with replacement; the same seed gives the same tags."""
-    numbered = tags.select("hashtag", (F.row_number().over(Window.orderBy("hashtag")) - 1).alias("i"))
+    """k tags for each query, with replacement, by md5 of seed, query and draw; the same seed gives the same tags."""
+    numbered = in_order(tags.select("hashtag"), "hashtag", name="i")
     n = tags.agg(F.count("*").alias("n"))
     draws = queries.select("query", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank")).crossJoin(F.broadcast(n))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "query", "rank"), F.col("n")).cast("int"))
-    return draws.join(numbered, "i").select("query", "rank", "hashtag")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query").cast("string"), F.col("rank").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return draws.withColumn("i", drawn % F.col("n") + 1).join(numbered, "i").select("query", "rank", "hashtag")

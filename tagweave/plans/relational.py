@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tagweave.functions import text
 from tagweave.operators import hashtags as H
+from tagweave.operators.order import in_order
 from tagweave.plans import views as V
 from tagweave.plans.registry import register
 from tagweave.plans.views import sql, table
@@ -247,12 +247,13 @@ def _(s, d):
 
 @q("label_order", sql("dcflat", "SELECT hashtag, row_number() OVER (ORDER BY hashtag) AS n FROM (SELECT DISTINCT hashtag FROM dcflat)"))
 def _(s, d):
-    return V.documents(s, d).select(F.explode("hashtags").alias("hashtag")).distinct().select("hashtag", F.row_number().over(Window.orderBy("hashtag")).cast("long").alias("n"))
+    return in_order(V.documents(s, d).select(F.explode("hashtags").alias("hashtag")).distinct(), "hashtag")
 
 
 @q("label_index", sql("evflat", "SELECT hashtag, dense_rank() OVER (ORDER BY hashtag) - 1 AS idx FROM (SELECT DISTINCT hashtag FROM evflat)"))
 def _(s, d):
-    return V.events(s, d).select(F.explode("hashtags").alias("hashtag")).distinct().select("hashtag", (F.dense_rank().over(Window.orderBy("hashtag")) - 1).cast("long").alias("idx"))
+    labels = V.events(s, d).select(F.explode("hashtags").alias("hashtag")).distinct()
+    return in_order(labels, "hashtag").select("hashtag", (F.col("n") - 1).alias("idx"))
 
 
 @q("sample_by_hash", "SELECT event_id FROM events WHERE substr(md5(CAST(user_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3')")
@@ -260,7 +261,7 @@ def _(s, d):
     return table(s, d, "events").where(F.substring(F.md5(F.col("user_id").cast("string")), 1, 1).isin("0", "1", "2", "3")).select("event_id")
 
 
-@q("random_baseline")
+@q("random_baseline", sql("evflat", "WITH t AS (SELECT hashtag, row_number() OVER (ORDER BY hashtag) AS i FROM (SELECT DISTINCT hashtag FROM evflat)), w AS (SELECT id AS query, unnest(range(1, 6)) AS rank FROM ev) SELECT query, CAST(rank AS INTEGER) AS rank, hashtag FROM w JOIN t ON i = CAST('0x' || md5('1337|' || query || '|' || rank)[1:8] AS BIGINT) % (SELECT count(*) FROM t) + 1"))
 def _(s, d):
     from tagweave.plans.recommend import random_tags
 
