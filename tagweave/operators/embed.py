@@ -18,6 +18,22 @@ def lookup(posts: DataFrame, vectors: DataFrame) -> DataFrame:
     return flat.join(vectors, "word")
 
 
+def lookup_always(posts: DataFrame, vectors: DataFrame, buckets: DataFrame, n: int = 3) -> DataFrame:
+    """(id, pos, word, vector) for all lemmas, their case kept: a word without a vector gets the mean of its parts'.
+
+    Parts are the character n-grams of the word between < and >, each in the bucket (bucket, vector) that its md5 gives.
+    """
+    flat = posts.select("id", F.posexplode("lemmas").alias("pos", "word"))
+    known = flat.join(vectors.withColumnRenamed("vector", "known"), "word", "left")
+    words = known.where("known is null").select("word").distinct().withColumn("_w", F.concat(F.lit("<"), "word", F.lit(">")))
+    size = buckets.agg(F.count("*").alias("_n"))
+    parts = words.select("word", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_w") - n + 1, F.lit(1)))).alias("_i"), "_w").select("word", F.substring(F.col("_w"), F.col("_i"), F.lit(n)).alias("part"))
+    hashed = F.conv(F.substring(F.md5(F.col("part").cast("binary")), 1, 8), 16, 10).cast("long")
+    parts = parts.crossJoin(F.broadcast(size)).select("word", (hashed % F.col("_n")).alias("bucket"))
+    made = parts.join(buckets, "bucket").groupBy("word").agg(mean_vector(F.col("vector")).alias("made"))
+    return known.join(made, "word", "left").select("id", "pos", "word", F.coalesce("known", "made").alias("vector"))
+
+
 def mean_embedding(posts: DataFrame, vectors: DataFrame) -> DataFrame:
     """(id, embedding) of every post; null where no lemma has a vector."""
     found = lookup(posts, vectors).groupBy("id").agg(mean_vector(F.col("vector")).alias("embedding"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagweave.plans import models, ranking, relational, registry  # noqa: F401  (each registers its queries)
+from tagweave.plans import files, models, ranking, relational, registry  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:

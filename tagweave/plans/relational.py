@@ -328,26 +328,3 @@ def _(s, d):
 @q("fn_clean_entities")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", text.clean_entities(F.col("text")).alias("text"))
-
-
-@q("parse_records")
-def _(s, d):
-    from tagweave.sources.records import parse_records
-
-    shown = F.concat(F.lit("Type:status\nOrigin:"), "event_type", F.lit("\nmore\nText:"), "props", F.lit("\nID:"), "event_id", F.lit("\nRetCount:3\nHashtags:a b\n***\n"))
-    return parse_records(table(s, d, "events").select(F.concat(F.lit("f"), F.col("event_id") % 97).alias("file"), shown.alias("v")).groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("v")), "").alias("value")), 1)
-
-
-@q("parse_tagged")
-def _(s, d):
-    from tagweave.sources.records import parse_tagged
-
-    word = F.transform(text.tokens(F.col("text")), lambda x: F.concat(F.lit("0\t"), x, F.lit("\t_\t"), x, F.lit(":s\tsubst")))
-    return parse_tagged(table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.array_join(word, "\n").alias("value")))
-
-
-@q("xml_base_tags")
-def _(s, d):
-    from tagweave.sources.records import xml_base_tags
-
-    return xml_base_tags(table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("<r><base>"), "lang", F.lit("</base><base>"), "source", F.lit("</base></r>")).alias("xml")))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +17,7 @@ MULTILINE = ("Text", "Origin")
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(file, value): whole files below path whose names match."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path).select(F.input_file_name().alias("file"), "value")
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
 def parse_records(texts: DataFrame, least_tags: int = 0, strict_compat: bool = False) -> DataFrame:
@@ -51,10 +54,79 @@ def parse_records(texts: DataFrame, least_tags: int = 0, strict_compat: bool = F
 
 
 def save_per_file(records: DataFrame, path: str, merged: bool = False) -> None:
-    """CSV, a folder for each input file, or one file for all; finished output is left as it is."""
+    """CSV, a folder for each input file, or one folder for all; finished output is left as it is.
+
+    merged leaves as many part files as there are tasks: a reader takes the folder as one table.
+    """
     flat = records.withColumns({c: F.array_join(c, " ") for c in ("Hashtags", "MentionedEntities")})
-    writer = flat.coalesce(1).write if merged else flat.write.partitionBy("file")
-    writer.mode("ignore").option("header", True).option("compression", "gzip").csv(path)
+    writer = flat.write if merged else flat.write.partitionBy("file")
+    writer.mode("ignore").options(header=True, compression="gzip", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
+    """CSV with a header and a declared schema; only `columns` are parsed."""
+    table = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+    return table.select(*columns) if columns else table
+
+
+def read_csv_of_users(spark: SparkSession, path: str, schema: str, column: str, user: str = "username") -> DataFrame:
+    """One column of a folder of CSV files, with the user that each file's name (<user>.csv or <user=...>/) gives."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"(?:user=([^/]+)/[^/]+|/([^/]+)\.csv[^/]*)$", 0)
+    of = F.coalesce(F.nullif(F.regexp_extract(name, r"user=([^/]+)/", 1), F.lit("")), F.regexp_extract(name, r"/([^/]+)\.csv", 1))
+    return spark.read.option("header", True).option("recursiveFileLookup", True).schema(schema).csv(path).select(F.col(column), F.url_decode(of).alias(user))
+
+
+def read_snapshots(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Snapshots, one JSON object a line, of a declared schema; lines that are none are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def tags_of_literal(column: Column) -> Column:
+    """A list literal such as ['a', 'b'] as array<struct<text>>, parsed as data, never run."""
+    plain = F.from_json(F.translate(column, "'", '"'), "array<string>")
+    return F.transform(plain, lambda x: F.struct(x.alias("text")))
+
+
+def scraping_plan(text: str) -> dict[str, list[str]]:
+    """The lists of a plain YAML plan: `name:` lines with `- value` lines below."""
+    out: dict[str, list[str]] = {}
+    name = ""
+    for line in text.splitlines():
+        bare = line.strip()
+        if bare.endswith(":") and not bare.startswith("-"):
+            name = bare[:-1].strip()
+            out[name] = []
+        elif bare.startswith("-") and name:
+            out[name].append(bare[1:].strip().strip("'\""))
+    return out
+
+
+def planned(posts: DataFrame, tags: list[str]) -> DataFrame:
+    """Posts with a tag of the plan; an entry that stands twice counts once, case does not count."""
+    wanted = F.array(*[F.lit(t) for t in sorted({t.lower() for t in tags})])
+    return posts.where(F.arrays_overlap(F.transform("hashtags", F.lower), wanted))
+
+
+def lemmatised(texts: DataFrame, fetch: Callable[[str], tuple[int, str]]) -> DataFrame:
+    """texts (id, text) -> (id, lemmas): the base elements of what the service answers, none unless its status is 200.
+
+    fetch is called on the executors, text by text; it returns status and XML. A call that fails gives no lemmas.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answers = []
+            for text in batch.column("text").to_pylist():
+                try:
+                    status, xml = fetch(text or "")
+                except OSError:
+                    status, xml = 0, ""
+                answers.append(xml if status == 200 else None)
+            yield pa.record_batch({"id": batch.column("id"), "xml": pa.array(answers, pa.string())})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    answered = xml_base_tags(texts.select("id", "text").mapInArrow(ask, f"id {kind}, xml string"))
+    return answered.select("id", F.coalesce("lemmas", F.array().cast("array<string>")).alias("lemmas"))
 
 
 def parse_tagged(texts: DataFrame) -> DataFrame:
