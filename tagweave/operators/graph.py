@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.vectors import angular_similarity, mean_vector
-from tagweave.sources.store import saved
+from tagweave.operators.components import components as star_components
+from tagweave.sources.store import drop_saved, saved
 
 GUARD = 1e-8
 EVERY = 5
@@ -65,9 +66,10 @@ def pagerank(arcs: DataFrame, nodes: DataFrame, alpha: float = 0.85, tolerance:
     alone = state.select("node").join(arcs.select(F.col("src").alias("node")), "node", "left_anti")
     dangling = saved(alone, "dangling") if alone.limit(1).count() else None
     for i in range(steps or most):
-        state = rank_step(arcs, state, alpha, dangling)
+        before, state = state, rank_step(arcs, state, alpha, dangling)
         if steps is None or (i + 1) % EVERY == 0:
             state = saved(state, "rank")
+            drop_saved(before)
         if steps is None:
             change = state.agg(F.sum(F.abs(F.col("x") - F.col("x0"))).alias("d"), F.max("n").alias("n")).first()
             if change["n"] is None or change["d"] < change["n"] * tolerance:
@@ -133,16 +135,7 @@ def walk(edges: DataFrame, start: DataFrame, damping: float = 0.8, threshold: fl
     return start.select("query", F.col("tag").alias("start")).join(r, "start").where("r > 0").select("query", "tag", "r")
 
 
-def components(nodes: DataFrame, pairs: DataFrame, most: int = 50) -> DataFrame:
-    """nodes (node), pairs (a, b) -> (node, component), by smallest label with a jump to the label's label."""
-    both = saved(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "pairs")
-    state = saved(nodes.select("node", F.col("node").alias("label")), "labels")
-    for _ in range(most):
-        near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        low = state.join(near, state["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("low", "label")).alias("low"))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = saved(low.join(jump, "low", "left").select("node", F.col("label").alias("before"), F.least("low", F.coalesce("lower", "low")).alias("label")), "labels")
-        state = after.select("node", "label")
-        if not after.where("before <> label").limit(1).count():
-            return state.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {most} rounds")
+def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """nodes (node), pairs (a, b) -> (node, component): the smallest node that each one reaches."""
+    found = star_components(pairs)
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -265,7 +265,7 @@ def _(s, d):
     return embed.without_direction(e, embed.principal_direction(e))
 
 
-_NN = "WITH pt AS (SELECT vec_id AS id, v FROM emb), ds AS (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda t: abs(t[1] - t[2]))) AS d FROM pt a CROSS JOIN pt b), nn AS (SELECT * FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM ds) WHERE rank <= 16), ep AS (SELECT avg(d) AS epsilon FROM nn) "
+_NN = "WITH pt AS (SELECT vec_id AS id, v FROM emb), ds AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_sum(list_transform(list_zip(a.v, b.v), lambda t: abs(t[1] - t[2]))) AS d FROM pt a CROSS JOIN pt b), nn AS (SELECT * FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rank FROM ds) WHERE rank <= 16), ep AS (SELECT avg(d) AS epsilon FROM nn) "
 _CLUSTER = _NN.replace("WITH pt", "WITH RECURSIVE pt").rstrip() + ", cp AS (SELECT a, b, d FROM ds, ep WHERE a < b AND d <= epsilon), bi AS (SELECT a, b FROM cp UNION SELECT b, a FROM cp), rc AS (SELECT id, id AS c FROM pt UNION SELECT bi.b, rc.c FROM rc JOIN bi ON bi.a = rc.id AND rc.c < bi.b), lb AS (SELECT id, min(c) AS cluster FROM rc GROUP BY id) "
 
 
