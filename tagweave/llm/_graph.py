@@ -1,45 +1,5 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components of links; the library's own step."""
 
-from __future__ import annotations
+from tagweave.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tagweave.llm._store import drop_written, written
-
-MAX_ROUNDS = 60
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> (node, component): each node of an edge and the smallest node reachable from it.
-
-    Every round is two groupings of the edge table by node, aggregated before the shuffle; a round that
-    changes nothing ends the loop. Nothing but a count and a checksum comes to the driver. Null ends and
-    loops link nothing; an empty table gives an empty table.
-    """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct()
-    now = written(now, "edges")
-    mark = _mark(now)
-    for _ in range(MAX_ROUNDS):
-        if not mark[0]:
-            break
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        after = written(small, "edges")
-        drop_written(now)
-        now, before = after, mark
-        mark = _mark(now)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    heads = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(heads)
+__all__ = ["components"]

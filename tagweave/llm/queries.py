@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import curve_search, html_text, language, mixing, ngram_join, packing, pii, pivot_dedup, quality, substring
+from tagweave.llm import curve_search, html_text, language, mixing, ngram_join, packing, pii, pivot_dedup, quality, sql, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": sql.NGRAM_JOIN, "op5_substring_dedup": sql.SUBSTRING, "op7_vector_dedup": sql.VECTOR_DEDUP}

@@ -70,6 +70,6 @@ def test_files_tell_rows_apart_without_a_copy(spark, tmp_path):
     spark.createDataFrame(_rows(), SCHEMA).repartition(3).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
     keyed = mixing.numbered(docs)
-    assert not hasattr(keyed, "_written_path") and keyed.select(*mixing.KEY).distinct().count() == len(_rows())
+    assert not hasattr(keyed, "_saved_path") and keyed.select(*mixing.KEY).distinct().count() == len(_rows())
     first = sorted((r["doc_id"] or -1, r["text"]) for r in mixing.take_mixed(docs).collect())
     assert first == sorted((r["doc_id"] or -1, r["text"]) for r in mixing.take_mixed(docs).collect())
