@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tagweave.llm import language, mixing, ngram_join, packing, pii
-from tagweave.llm._store import written
+from tagweave.llm._store import drop_written, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        drop_written(before)
     return STAGES[-1][1](spark, docs, sf_dir)
