@@ -111,8 +111,8 @@ def walk(edges: DataFrame, start: DataFrame, damping: float = 0.8, threshold: fl
 
     edges (hashtag, kind, other) are the graph. A step goes from tags to their neighbours and back, takes away what came
     back to the tag itself, and divides by the tag's degree: the product of tags and tags is never made. A walk depends
-    on its start alone, so each start is walked once, however many queries have it. The walks go on until the total
-    change of all is below the threshold.
+    on its start alone, so each start is walked once, however many queries have it. The walks go on until none changes
+    by the threshold or more in all.
     """
     degrees = saved(weighted_degrees(edges), "degrees")
     arcs = saved(edges.select(F.col("hashtag").alias("tag"), F.xxhash64("kind", "other").alias("near"), "kind", "other"), "arcs")
@@ -127,7 +127,7 @@ def walk(edges: DataFrame, start: DataFrame, damping: float = 0.8, threshold: fl
         if steps is None or (i + 1) % EVERY == 0:
             after = saved(after, "walk")
         if steps is None and i:
-            d = after.join(r.withColumnRenamed("r", "r0"), ["start", "tag"], "full").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("r0", F.lit(0.0)))).alias("d")).first()["d"]
+            d = after.join(r.withColumnRenamed("r", "r0"), ["start", "tag"], "full").groupBy("start").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("r0", F.lit(0.0)))).alias("d")).agg(F.max("d").alias("d")).first()["d"]
             if d is None or d < threshold:
                 r = after
                 break

@@ -185,7 +185,8 @@ _SUB = """WITH kw AS MATERIALIZED (SELECT word, vector[1] AS first FROM wv WHERE
 @q("lemma_vector_always", sql("wv", _SUB))
 def _(s, d):
     buckets = table(s, d, "embeddings").select(F.col("vec_id").alias("bucket"), F.col("embedding").cast("array<double>").alias("vector"))
-    found = embed.lookup_always(V.documents(s, d), V.word_vectors(s, d).where("word < 't'"), buckets)
+    p = V.posts(s, d)
+    found = embed.lookup_always(p, V.word_vectors(s, d, p).where("word < 't'"), buckets)
     return found.select("id", F.col("pos").cast("long").alias("pos"), "word", (F.round(F.col("vector")[0], 6) + 0.0).alias("first"))
 
 

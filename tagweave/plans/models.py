@@ -93,7 +93,7 @@ _SHARED = _TRI.rstrip() + ", sh AS (SELECT a.hashtag AS i, b.hashtag AS j, count
 
 
 def _tri(s, d):
-    return graph.tripartite(V.common_documents(s, d))
+    return saved(graph.tripartite(V.common_documents(s, d)), "edges")
 
 
 @q("tripartite_edges", sql("dcf", _TRI + "SELECT * FROM tri"))
@@ -131,7 +131,7 @@ _ASKED = "id % 20 = 0"
 
 
 def _walk(s, d, steps=None):
-    return R.GraphWalk(steps=steps).fit(V.documents(s, d))
+    return R.GraphWalk(steps=steps).fit(V.posts(s, d))
 
 
 def _asked(s, d):
@@ -212,7 +212,8 @@ _FOUND = "WITH lk AS (SELECT id, pos, w AS word, vector FROM (SELECT id, unnest(
 
 @q("lemma_vector_join", sql("wv", _FOUND + "SELECT id, pos - 1 AS pos, word, round(vector[1], 6) AS first FROM lk"))
 def _(s, d):
-    return embed.lookup(V.documents(s, d), V.word_vectors(s, d)).select("id", F.col("pos").cast("long").alias("pos"), "word", F.round(F.col("vector")[0], 6).alias("first"))
+    p = V.posts(s, d)
+    return embed.lookup(p, V.word_vectors(s, d, p)).select("id", F.col("pos").cast("long").alias("pos"), "word", F.round(F.col("vector")[0], 6).alias("first"))
 
 
 _KNOWN = "WITH kw AS (SELECT * FROM wv WHERE word < 't'), "
@@ -220,18 +221,21 @@ _KNOWN = "WITH kw AS (SELECT * FROM wv WHERE word < 't'), "
 
 @q("tweet_embedding_mean", sql("wv", _KNOWN + "lk AS (SELECT id, vector FROM (SELECT id, unnest(lemmas) AS w FROM dc) JOIN kw ON word = w), mm AS (SELECT id, pos, avg(x) AS m FROM (SELECT id, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM lk) GROUP BY 1, 2) SELECT dc.id, pos - 1 AS pos, round(m, 6) + 0e0 AS m FROM dc LEFT JOIN mm USING (id)"))
 def _(s, d):
-    m = embed.mean_embedding(V.documents(s, d), V.word_vectors(s, d).where("word < 't'"))
+    p = V.posts(s, d)
+    m = embed.mean_embedding(p, V.word_vectors(s, d, p).where("word < 't'"))
     return m.select("id", F.posexplode_outer("embedding").alias("pos", "m")).select("id", F.col("pos").cast("long").alias("pos"), (F.round("m", 6) + 0.0).alias("m"))
 
 
 @q("oov_rate", sql("wv", _KNOWN + "f AS (SELECT id, unnest(lemmas) AS w FROM dc) SELECT id, round(1 - count(word) / count(*), 6) AS oov FROM f LEFT JOIN kw ON word = w GROUP BY id"))
 def _(s, d):
-    return embed.unknown_share(V.documents(s, d), V.word_vectors(s, d).where("word < 't'")).select("id", F.round("oov", 6).alias("oov"))
+    p = V.posts(s, d)
+    return embed.unknown_share(p, V.word_vectors(s, d, p).where("word < 't'")).select("id", F.round("oov", 6).alias("oov"))
 
 
 @q("filter_oov", sql("wv", _KNOWN + "f AS (SELECT id, unnest(lemmas) AS w, generate_subscripts(lemmas, 1) AS pos FROM dc) SELECT id, array_to_string(list(w ORDER BY pos), ' ') AS lemmas FROM f SEMI JOIN kw ON word = w GROUP BY id"))
 def _(s, d):
-    f = embed.lookup(V.documents(s, d), V.word_vectors(s, d).where("word < 't'").select("word", F.lit(None).alias("vector")))
+    p = V.posts(s, d)
+    f = embed.lookup(p, V.word_vectors(s, d, p).where("word < 't'").select("word", F.lit(None).alias("vector")))
     return f.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w")).select("id", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("lemmas"))
 
 
@@ -244,8 +248,8 @@ def _(s, d):
 
 
 def _sif(s, d):
-    p = V.documents(s, d)
-    return embed.weighted_average(p, V.word_vectors(s, d), embed.word_weights(p, least=2))
+    p = V.posts(s, d)
+    return embed.weighted_average(p, V.word_vectors(s, d, p), embed.word_weights(p, least=2))
 
 
 @q("sif_weighted_average", sql("wv", _SIFW.rstrip() + _FOUND.rstrip().replace("WITH lk", ", lk") + ", wl AS (SELECT id, vector, coalesce(weight, 0) AS weight FROM lk LEFT JOIN ww USING (word)) SELECT id, pos - 1 AS pos, round(avg(x * weight), 6) + 0e0 AS m FROM (SELECT id, weight, unnest(vector) AS x, generate_subscripts(vector, 1) AS pos FROM wl) GROUP BY 1, 2"))

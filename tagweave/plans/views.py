@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import text
 from tagweave.operators import hashtags
+from tagweave.sources.store import saved
 
 TAGS = 5
 
@@ -56,19 +57,24 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("doc_id").alias("id"), F.col("source").alias("username"), (F.col("n_chars") % 7).alias("retweet_count"), tags.alias("hashtags"), F.col("_t").alias("lemmas"))
 
 
+def posts(spark: SparkSession, d: str) -> DataFrame:
+    """documents(), saved: what reads it several times cuts and hashes the texts once."""
+    return saved(documents(spark, d), "posts")
+
+
 def common_events(spark: SparkSession, d: str, **more: bool) -> DataFrame:
     least = size(table(spark, d, "events")).select(F.expr("_n div 100"))
     return hashtags.rare_filter(events(spark, d, **more), least)
 
 
 def common_documents(spark: SparkSession, d: str) -> DataFrame:
-    return hashtags.rare_filter(documents(spark, d), 3)
+    return hashtags.rare_filter(posts(spark, d), 3)
 
 
-def word_vectors(spark: SparkSession, d: str) -> DataFrame:
+def word_vectors(spark: SparkSession, d: str, made: DataFrame | None = None) -> DataFrame:
     """Every word of the documents view with the vector whose id is the first 8 hex digits of its md5, modulo their number."""
     t = table(spark, d, "embeddings")
-    words = documents(spark, d).select(F.explode("lemmas").alias("word")).distinct()
+    words = (documents(spark, d) if made is None else made).select(F.explode("lemmas").alias("word")).distinct()
     words = words.withColumn("_h", F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("long"))
     return modulo(words, size(t), "_h", "_v").join(t.select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("vector")), "_v").select("word", "vector")
 
