@@ -68,8 +68,8 @@ class Cutter:
         self.flat, self.at = np.zeros(1, np.uint32), np.array([0, 1])  # run 0 stands for the end of a text
         self.raw, self.raw_at = np.zeros(0, np.uint8), np.zeros(2, np.int64)
 
-    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """An order of the runs data[starts:ends], their ids end to end in that order, and how many each has.
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New slots, one for each of the runs data[starts:ends].
 
         Runs that begin with a lone space or line end and end plainly are encoded end to end, MANY at a time, and cut by
         their tokens' lengths; the others come after them, one by one.
@@ -80,31 +80,27 @@ class Cutter:
         for back in (1, 2, 3):
             plain &= ~odd[np.maximum(ends - back, starts)] | (ends - back <= starts)
         order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        raw, n = data.tobytes(), int(plain.sum())
-        runs = [raw[a:b] for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
+        n, size = int(plain.sum()), (ends - starts)[order]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        raw = data[np.arange(upto[-1]) + np.repeat(starts[order] - upto[:-1], size)]
         ids, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for low in range(0, n, MANY):
-            own = runs[low : min(n, low + MANY)]
-            made = np.array(self.tokenizer.encode_batch_fast([b"".join(own).decode("utf-8")], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.searchsorted(np.cumsum(self.length[made]), np.cumsum([len(r) for r in own])) + 1
+            high = min(n, low + MANY)
+            text = raw[upto[low] : upto[high]].tobytes().decode("utf-8")
+            made = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.searchsorted(np.cumsum(self.length[made]), upto[low + 1 : high + 1] - upto[low]) + 1
             ids.append(made)
             count.append(np.diff(cut, prepend=0))
-        for e in self.tokenizer.encode_batch_fast([r.decode("utf-8") for r in runs[n:]], add_special_tokens=False):
+        rest = [raw[a:b].tobytes().decode("utf-8") for a, b in zip(upto[n:-1].tolist(), upto[n + 1 :].tolist(), strict=True)]
+        for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False):
             ids.append(np.array(e.ids, np.uint32))
             count.append(np.array([len(ids[-1])]))
-        return order, np.concatenate(ids), np.concatenate(count)
-
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """New slots, one for each of the runs."""
-        order, ids, count = self._encoded(data, starts, ends)
         slots = np.empty(len(order), np.int64)
         slots[order] = len(self.at) - 1 + np.arange(len(order))
-        size = (ends - starts)[order]
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
-        self.flat = np.concatenate([self.flat, ids])
-        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + np.cumsum(size)])
-        self.raw = np.concatenate([self.raw, data[np.repeat(starts[order], size) + step]])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(count))])
+        self.flat = np.concatenate([self.flat, *ids])
+        self.raw_at = np.concatenate([self.raw_at, self.raw_at[-1] + upto[1:]])
+        self.raw = np.concatenate([self.raw, raw])
         return slots
 
     def _confirmed(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -169,31 +165,47 @@ class Cutter:
         return ids, np.concatenate([[0], text_end]), upto[stop]
 
 
+def _merged(*rising: np.ndarray) -> np.ndarray:
+    """The distinct values of rising arrays, rising."""
+    all_ = np.sort(np.concatenate(rising), kind="stable")
+    return all_[np.diff(all_, prepend=-1) != 0]
+
+
 def cuts(total: int, docs: np.ndarray, sentences: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Cheapest cut places of a stream, 0 and total among them. docs, sentences: places where those end."""
-    soft = np.unique(np.concatenate([[0], docs, sentences, [total]]))
+    """Cheapest cut places of a stream, 0 and total among them. docs, sentences: places where those end, rising."""
+    soft = _merged(np.zeros(1, np.int64), docs, sentences, np.array([total]))
     gap = np.diff(soft)
     wide = np.flatnonzero(gap > STRIDE)
-    hard = [np.arange(soft[i] + STRIDE, soft[i + 1], STRIDE) for i in wide.tolist()]
-    at = np.unique(np.concatenate([soft, *hard]))
+    extra = -(-gap[wide] // STRIDE) - 1
+    hard = np.repeat(soft[wide], extra) + STRIDE * (np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra) + 1)
+    at = _merged(soft, hard)
     fee = np.full(len(at), HARD)
     fee[np.searchsorted(at, sentences)] = SENTENCE
-    fee[np.searchsorted(at, np.concatenate([docs, [total]]))] = 0.0
+    fee[np.searchsorted(at, np.append(docs, total))] = 0.0
+    to, back = [], []  # places that a window of a power of two connects
+    for size in (1 << k for k in range(7, 20) if 1 << k < window):
+        k = np.searchsorted(at, at - size)
+        some = np.flatnonzero((at >= size) & (at[k] == at - size))
+        to.append(some)
+        back.append(k[some])
+    to, back = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (to, back))
+    order = np.argsort(to, kind="stable")
+    to, back = [*to[order].tolist(), len(at)], back[order].tolist()
     place, fees = at.tolist(), fee.tolist()
-    index = {p: i for i, p in enumerate(place)}
-    powers = [1 << k for k in range(7, 20) if 1 << k < window]
     cost, origin = [0.0] * len(place), [0] * len(place)
     queue: deque[int] = deque([0])
     key = [0.0] * len(place)
+    nth = 0
     for j in range(1, len(place)):
         p = place[j]
         while p - place[queue[0]] > window:
             queue.popleft()
         i = queue[0]
         best, came = key[i] + window - p, i
-        for size in powers:
-            k = index.get(p - size)
-            if k is not None and cost[k] < best:
+        while to[nth] == j:
+            k = back[nth]
+            nth += 1
+            if cost[k] < best:
                 best, came = cost[k], k
         cost[j] = best = best + fees[j]
         origin[j] = came
@@ -240,7 +252,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = E
                 return None
             edge = np.array(edge)
             stop = edge[-1]
-            begin = np.unique(np.concatenate([edge[:-1], held[0][held[0] < stop]]))
+            begin = _merged(edge[:-1], held[0][held[0] < stop])
             length = np.diff(np.append(begin, stop))
             of = np.searchsorted(held[0], begin, "right")
             seq = np.searchsorted(edge, begin, "right") - 1

@@ -160,16 +160,25 @@ def test_packing_over_many_blocks(spark):
     assert sum(256 - n for n in total.values() if n & (n - 1)) <= 0.1 * sum(total.values())
 
 
-def test_cuts_are_the_cheapest():
-    docs, sentences = np.array([30, 95, 140]), np.array([12, 50, 77, 120])
-    got = packing.cuts(140, docs, sentences, 64)
-    assert got[0] == 0 and got[-1] == 140 and max(np.diff(got)) <= 64
-    places = sorted({0, *docs.tolist(), *sentences.tolist(), 140})
-    fee = {p: packing.SENTENCE for p in sentences.tolist()} | {p: 0.0 for p in [*docs.tolist(), 140]}
+@pytest.mark.parametrize(("window", "total", "seed"), [(64, 140, 0), (512, 2600, 1), (300, 1900, 2), (2048, 9000, 3)])
+def test_cuts_are_the_cheapest(window, total, seed):
+    """Against all windows between all places, those of a power of two from 128 on without padding."""
+    rng = np.random.default_rng(seed)
+    docs = np.unique(np.append(rng.integers(1, total, 8), total))
+    sentences = np.unique(rng.integers(1, total, 30))
+    got = packing.cuts(total, docs, sentences, window)
+    soft = sorted({0, *docs.tolist(), *sentences.tolist(), total})
+    places = sorted({*soft, *(x for a, b in zip(soft[:-1], soft[1:], strict=True) for x in range(a + packing.STRIDE, b, packing.STRIDE))})
+    fee = {p: packing.HARD for p in places} | {p: packing.SENTENCE for p in sentences.tolist()} | {p: 0.0 for p in docs.tolist()}
+
+    def padding(n: int) -> int:
+        return 0 if n >= 128 and not n & (n - 1) else window - n
+
     best = {0: 0.0}
     for p in places[1:]:
-        best[p] = min(best[q] + 64 - (p - q) for q in places if q < p and p - q <= 64 and q in best) + fee[p]
-    assert best[140] == sum(fee[b] + 64 - (b - a) for a, b in zip(got[:-1], got[1:], strict=True))
+        best[p] = min(best[q] + padding(p - q) for q in places if q < p and p - q <= window and q in best) + fee[p]
+    assert got[0] == 0 and got[-1] == total and max(np.diff(got)) <= window and set(got) <= set(places)
+    assert best[total] == sum(fee[b] + padding(b - a) for a, b in zip(got[:-1], got[1:], strict=True))
 
 
 PAGE = "<html><head><title>t</title></head><body class='has-sidebar'><nav>menu</nav><div class=ad>buy</div>{}<script>var a='</p>'</script><footer>f</footer>"
