@@ -114,25 +114,30 @@ def walk(edges: DataFrame, start: DataFrame, damping: float = 0.8, threshold: fl
     on its start alone, so each start is walked once, however many queries have it. The walks go on until none changes
     by the threshold or more in all.
     """
-    degrees = saved(weighted_degrees(edges), "degrees")
-    arcs = saved(edges.select(F.col("hashtag").alias("tag"), F.xxhash64("kind", "other").alias("near"), "kind", "other"), "arcs")
-    restart = saved(start.select("tag").distinct().select(F.col("tag").alias("start"), "tag", F.lit(1.0).alias("p")), "starts")
+    number = F.monotonically_increasing_id()
+    tags = saved(weighted_degrees(edges).withColumn("t", number), "tags")
+    nodes = saved(edges.select("kind", "other").distinct().withColumn("m", number), "nodes")
+    arcs = saved(edges.join(nodes, ["kind", "other"]).join(tags.select(F.col("tag").alias("hashtag"), "t"), "hashtag").select("t", "m"), "arcs")
+    degrees = tags.select("t", "degree", "own")
+    restart = saved(start.select("tag").distinct().join(tags, "tag").select(F.col("t").alias("start"), "t", F.lit(1.0).alias("p")), "starts")
     r = restart.withColumnRenamed("p", "r")
     for i in range(steps or most + 1):
-        out = r.join(arcs, "tag").groupBy("start", "near", "kind", "other").agg(F.sum("r").alias("s"))
-        back = out.join(arcs, ["near", "kind", "other"]).groupBy("start", "tag").agg(F.sum("s").alias("f"))
-        flow = back.join(r, ["start", "tag"], "left").join(degrees, "tag")
-        flow = flow.select("start", "tag", (damping * (F.col("f") - F.coalesce("r", F.lit(0.0)) * F.col("own")) / (F.col("degree") + GUARD)).alias("f"))
-        after = flow.join(restart, ["start", "tag"], "full").select("start", "tag", (F.coalesce("f", F.lit(0.0)) + (1 - damping) * F.coalesce("p", F.lit(0.0))).alias("r"))
+        out = r.join(arcs, "t").groupBy("start", "m").agg(F.sum("r").alias("s"))
+        back = out.join(arcs, "m").groupBy("start", "t").agg(F.sum("s").alias("f"))
+        flow = back.join(r, ["start", "t"], "left").join(degrees, "t")
+        flow = flow.select("start", "t", (damping * (F.col("f") - F.coalesce("r", F.lit(0.0)) * F.col("own")) / (F.col("degree") + GUARD)).alias("f"))
+        after = flow.join(restart, ["start", "t"], "full").select("start", "t", (F.coalesce("f", F.lit(0.0)) + (1 - damping) * F.coalesce("p", F.lit(0.0))).alias("r"))
         if steps is None or (i + 1) % EVERY == 0:
             after = saved(after, "walk")
         if steps is None and i:
-            d = after.join(r.withColumnRenamed("r", "r0"), ["start", "tag"], "full").groupBy("start").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("r0", F.lit(0.0)))).alias("d")).agg(F.max("d").alias("d")).first()["d"]
+            d = after.join(r.withColumnRenamed("r", "r0"), ["start", "t"], "full").groupBy("start").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("r0", F.lit(0.0)))).alias("d")).agg(F.max("d").alias("d")).first()["d"]
             if d is None or d < threshold:
                 r = after
                 break
         r = after
-    return start.select("query", F.col("tag").alias("start")).join(r, "start").where("r > 0").select("query", "tag", "r")
+    named = tags.select("tag", "t")
+    asked = start.select("query", "tag").join(named, "tag").select("query", F.col("t").alias("start"))
+    return asked.join(r, "start").where("r > 0").join(named, "t").select("query", "tag", "r")
 
 
 def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
