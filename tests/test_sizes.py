@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import graph, tfidf
+from tagweave.operators import embed, graph, tfidf
 
 
 def _plan(df):
@@ -50,3 +50,23 @@ def test_tiles_are_the_product(spark, monkeypatch, pairs):
     assert {r["query"]: r["t"] for r in best.collect()} == {f"q{i:02}": names[np.round(want[i], 9).argmax()] for i in range(30)}
     for r in tiles.vectors().collect():
         assert np.allclose(r["values"], want[int(r["query"][1:]), r["low"] : r["low"] + 16], atol=1e-12)
+
+
+def test_means_carry_a_vector_once_a_block(spark, monkeypatch):
+    """Posts of few words, repeated: blocks of posts, repeated ids, words without weight, without vector, posts without words."""
+    monkeypatch.setattr(embed, "TOKENS", 64)
+    rng = np.random.default_rng(6)
+    v = {f"w{i}": rng.normal(size=3).tolist() for i in range(12)}
+    posts = [(i % 55, [None if x == 13 else f"W{x}" if x % 2 else f"w{x}" for x in rng.integers(0, 15, rng.integers(0, 20))]) for i in range(60)] + [(90, None), (91, [])]
+    df = spark.createDataFrame(posts, "id long, lemmas array<string>")
+    vectors = spark.createDataFrame(list(v.items()), "word string, vector array<double>")
+    weights = spark.createDataFrame([(f"w{i}", 1.0 / (1 + i)) for i in range(8)], "word string, weight double")
+    found = {i: [x.lower() for j, ws in posts if j == i for x in ws or [] if x and x.lower() in v] for i, _ in posts}
+    made = embed.weighted_average(df, vectors, weights)
+    assert "Summarizer" not in _plan(made) and "summarizer" not in _plan(made)
+    got = {r["id"]: r["embedding"] for r in made.collect()}
+    assert set(got) == {i for i in found if found[i]}
+    for i in got:
+        assert got[i] == pytest.approx(np.mean([np.array(v[x]) * (1 / (1 + int(x[1:])) if int(x[1:]) < 8 else 0) for x in found[i]], 0).tolist())
+    means = {r["id"]: r["embedding"] for r in embed.mean_embedding(df.dropDuplicates(["id"]), vectors).collect()}
+    assert means[90] is None and means[91] is None and len(means) == 57
