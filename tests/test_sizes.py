@@ -20,6 +20,14 @@ def test_walk_makes_no_rows_of_starts_and_arcs(spark):
     near = {t: {("u", u) for _, u, ts in posts if t in ts} | {("p", i) for i, _, ts in posts if t in ts} for t in tags}
     w = np.array([[len(near[a] & near[b]) * (a != b) for b in tags] for a in tags], float)
     step = w / (w.sum(0) + 1e-8)
+    shared, moved = graph.shared_neighbours(edges), graph.transitions(edges)
+    assert "Exchange" not in _plan(shared) + _plan(moved)
+    at = {t: i for i, t in enumerate(tags)}
+    for rows, want in ((shared, w), (moved, step)):
+        got = np.zeros_like(w)
+        for r in rows.collect():
+            got[at[r["i"]], at[r["j"]]] = r[2]
+        assert np.allclose(got, want, atol=1e-15) and rows.count() == (w > 0).sum()
     start = spark.createDataFrame([(q, tags[q % 50]) for q in range(70)], "query int, tag string")
     walked = graph.walk(edges, start, steps=2)
     assert "Join" not in _plan(walked)
