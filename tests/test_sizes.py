@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators import embed, graph, tfidf
+from tagweave.operators import density, embed, graph, tfidf
 
 
 def _plan(df):
@@ -78,3 +78,19 @@ def test_means_carry_a_vector_once_a_block(spark, monkeypatch):
         assert got[i] == pytest.approx(np.mean([np.array(v[x]) * (1 / (1 + int(x[1:])) if int(x[1:]) < 8 else 0) for x in found[i]], 0).tolist())
     means = {r["id"]: r["embedding"] for r in embed.mean_embedding(df.dropDuplicates(["id"]), vectors).collect()}
     assert means[90] is None and means[91] is None and len(means) == 57
+
+
+def test_nearest_computes_a_pair_of_blocks_once(spark, monkeypatch):
+    """Many equal distances and copies, over several blocks; each distance is computed for both of its points at once."""
+    monkeypatch.setattr(density, "BLOCK", 60)
+    monkeypatch.setattr(density, "SLICE", 17)
+    rng = np.random.default_rng(8)
+    v = rng.integers(0, 4, (230, 3)).astype(float)
+    points = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    halves, compared = [], density._compared
+    monkeypatch.setattr(density, "_compared", lambda *a, **b: halves.append(b.get("half")) or compared(*a, **b))
+    got = {(r["a"], r["rank"]): (r["b"], r["d"]) for r in density.nearest(points, 5).collect()}
+    far = np.abs(v[:, None] - v[None]).sum(-1)
+    order = np.argsort(far, axis=1, kind="stable")[:, :5]
+    assert got == {(a * 3, n + 1): (b * 3, far[a, b]) for a, near in enumerate(order.tolist()) for n, b in enumerate(near)}
+    assert halves == [True]
