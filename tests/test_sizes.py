@@ -94,3 +94,23 @@ def test_nearest_computes_a_pair_of_blocks_once(spark, monkeypatch):
     order = np.argsort(far, axis=1, kind="stable")[:, :5]
     assert got == {(a * 3, n + 1): (b * 3, far[a, b]) for a, near in enumerate(order.tolist()) for n, b in enumerate(near)}
     assert halves == [True]
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e12])
+def test_few_pairs_are_computed_in_double_precision(monkeypatch, scale):
+    """The integer steps keep every pair within the reach, ties at it too, and leave few others; infinite values keep all."""
+    monkeypatch.setattr(density, "SLICE", 100)
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(330, 64)) * scale, rng.normal(size=(270, 64)) * scale
+    y[5], y[6] = x[7], x[8]
+    far = np.zeros((330, 270))
+    for i in range(64):
+        far += np.abs(x[:, i, None] - y[:, i])
+    left, right = np.sort(far, 1)[:, 2], np.full(270, -1.0)
+    right[9] = far[:, 9].min()
+    a, b, d = (np.concatenate(c) for c in zip(*density._within(x, y, left, right), strict=True))
+    assert np.array_equal(d, far[a, b]) and len(a) < far.size / 20
+    wanted = (far <= left[:, None]) | (far <= right)
+    assert set(zip(*np.nonzero(wanted), strict=True)) <= set(zip(a, b, strict=True)) and wanted.sum() >= 990
+    x[0, 0] = np.inf
+    assert sum(len(a) for a, *_ in density._within(x, y, left, right)) == far.size
