@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators import density, embed, graph, tfidf
+from tagweave.plans import evaluate
+from tagweave.plans.recommend import Popularity
 
 
 def _plan(df):
@@ -114,3 +116,39 @@ def test_few_pairs_are_computed_in_double_precision(monkeypatch, scale):
     assert set(zip(*np.nonzero(wanted), strict=True)) <= set(zip(a, b, strict=True)) and wanted.sum() >= 990
     x[0, 0] = np.inf
     assert sum(len(a) for a, *_ in density._within(x, y, left, right)) == far.size
+
+
+def test_ranks_and_grid_shuffle_no_posts(spark):
+    """Ranks over posts and their tags against the general form: rare tags, a tag opposite to its posts, posts without tags."""
+    rng = np.random.default_rng(12)
+    posts = [(i, [f"t{x}" for x in rng.integers(0, 9, rng.integers(0, 4))], rng.normal(size=4).tolist(), int(rng.integers(0, 5))) for i in range(120)]
+    posts += [(200, ["up"], [1.0, 0.0, 0.0, 0.0], 1), (201, ["up"], [1.0, 0.0, 0.0, 0.0], 2), (202, ["up"], [-1.0, 0.0, 0.0, 0.0], 3), (203, None, [1.0, 0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(posts, "id long, hashtags array<string>, embedding array<double>, retweet_count long")
+    tags = graph.profile(df)
+    want = {r["node"]: r["x"] for r in graph.pagerank(*graph.rank_graph(df, tags), steps=3).collect()}
+    ranks = graph.Ranks(df, tags).run(steps=3)
+    got = {r["node"]: r["x"] for r in ranks.nodes().collect()}
+    assert set(got) == set(want) and got == pytest.approx(want, abs=1e-12)
+    assert "Exchange" not in _plan(ranks.nodes())
+    test = df.where("id % 2 = 0 and size(hashtags) > 0").select(F.col("id").alias("query"), F.col("hashtags").alias("truth"), "embedding", "retweet_count")
+    counts = df.select(F.explode("hashtags").alias("hashtag")).groupBy("hashtag").agg(F.count("*").alias("count"))
+    grid = evaluate.grid_search(test, tags.join(counts, "hashtag"), ["mean_retweets"], [100, 9], [0.4], [1, 3], spark.range(1).selectExpr("200L"))
+    plan = _plan(grid)
+    assert "Window" not in plan and "Join" not in plan
+    got = {(r["dataset"], r["least"], r["k"]): (r["recall"], r["n"]) for r in grid.collect()}
+    for least in (100, 9):
+        kept = counts.where(F.col("count") >= 200 // least).select("hashtag")
+        model = Popularity(0.4)
+        model.profile = tags.join(kept, "hashtag")
+        for k in (1, 3):
+            rows = evaluate.evaluate(test, lambda asked: model.from_embeddings(asked, 10), k)  # noqa: B023
+            part = F.when(F.col("retweet_count") > 0, "popular").otherwise("unpopular")
+            for r in evaluate.means(rows.withColumn("dataset", part), ["recall"], ["dataset"]).collect():
+                assert got[r["dataset"], least, k] == (r["recall"], r["n"])
+
+
+def test_fit_carries_no_vector_through_a_join_of_posts(spark):
+    posts = spark.createDataFrame([(i, [f"t{i % 3}", "rare" if i == 5 else "all"], [1.0, float(i)], i) for i in range(30)] + [(99, ["all"], None, 7)], "id long, hashtags array<string>, embedding array<double>, retweet_count long")
+    profile = {r["hashtag"]: r["mean_retweets"] for r in Popularity(least=2).fit(posts).profile.collect()}
+    assert profile == {"t0": 13.5, "t1": 14.5, "t2": 15.5, "all": pytest.approx((435 - 5) / 29)}
+    assert "SortMergeJoin" not in _plan(graph.profile(posts)) and "BroadcastHashJoin" not in _plan(graph.profile(posts))
