@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 KEYS = ("Type", "Origin", "Text", "URL", "ID", "Time", "RetCount", "Favorite", "MentionedEntities", "Hashtags")
 MARK = "***"
 MULTILINE = ("Text", "Origin")
+#: Files that are parsed into one batch.
+FILES = 256
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
@@ -130,12 +132,30 @@ def lemmatised(texts: DataFrame, fetch: Callable[[str], tuple[int, str]]) -> Dat
 
 
 def parse_tagged(texts: DataFrame) -> DataFrame:
-    """Tagger TSV (file, value) -> (file, lemmas): no punctuation rows, first row of each surface form, lemma before the colon."""
-    rows = texts.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).withColumn("c", F.split("line", "\t")).where(F.size("c") >= 5)
-    rows = rows.select("file", "pos", F.col("c")[1].alias("surface"), F.substring_index(F.lower(F.col("c")[3]), ":", 1).alias("lemma"), F.trim(F.col("c")[4]).alias("class")).where("class <> 'interp'")
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("file", "surface").orderBy("pos"))).where("n = 1")
-    made = first.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("p")).select("file", F.transform("p", lambda x: x["lemma"]).alias("lemmas"))
-    return texts.select("file").distinct().join(made, "file", "left").select("file", F.coalesce("lemmas", F.array().cast("array<string>")).alias("lemmas"))
+    """Tagger TSV (file, value) -> (file, lemmas): no punctuation rows, first row of each surface form, lemma before the colon.
+
+    A file is one row and is parsed in it; lines are not shuffled.
+    """
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, FILES):
+                part = batch.slice(at, FILES)
+                lemmas = [_first_lemmas(*x) for x in zip(part.column("value").to_pylist(), part.column("low").to_pylist(), strict=True)]
+                yield pa.record_batch([part.column("file"), pa.array(lemmas, pa.list_(pa.string()))], ["file", "lemmas"])
+
+    kind = texts.schema["file"].dataType.simpleString()
+    return texts.select("file", "value", F.lower("value").alias("low")).mapInArrow(parsed, f"file {kind}, lemmas array<string>")
+
+
+def _first_lemmas(value: str | None, low: str | None) -> list[str]:
+    """The lemmas of a tagger's text; low is the same text in lower case."""
+    found: dict[str, str] = {}
+    for line, lower in zip((value or "").split("\n"), (low or "").split("\n"), strict=True):
+        cells = line.split("\t")
+        if len(cells) >= 5 and cells[1] not in found and cells[4].strip(" ") != "interp":
+            found[cells[1]] = lower.split("\t", 4)[3].split(":", 1)[0]
+    return list(found.values())
 
 
 def xml_base_tags(answers: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagweave.operators import density, embed, graph, tfidf
 from tagweave.plans import evaluate
 from tagweave.plans.recommend import Popularity
+from tagweave.sources import records
 
 
 def _plan(df):
@@ -152,3 +153,10 @@ def test_fit_carries_no_vector_through_a_join_of_posts(spark):
     profile = {r["hashtag"]: r["mean_retweets"] for r in Popularity(least=2).fit(posts).profile.collect()}
     assert profile == {"t0": 13.5, "t1": 14.5, "t2": 15.5, "all": pytest.approx((435 - 5) / 29)}
     assert "SortMergeJoin" not in _plan(graph.profile(posts)) and "BroadcastHashJoin" not in _plan(graph.profile(posts))
+
+
+def test_tagged_lines_are_not_shuffled(spark):
+    text = "0\tAla\t_\tALA:s1\tsubst\n1\t.\t_\t.\t interp \n2\tAla\t_\tother\tsubst\n3\tkot\t_\tKot\tsubst\textra\nshort\tline"
+    made = records.parse_tagged(spark.createDataFrame([("f", text), ("g", None), ("h", "")], "file string, value string"))
+    assert {r["file"]: r["lemmas"] for r in made.collect()} == {"f": ["ala", "kot"], "g": [], "h": []}
+    assert "Exchange" not in _plan(made)
