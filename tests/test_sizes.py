@@ -160,3 +160,16 @@ def test_tagged_lines_are_not_shuffled(spark):
     made = records.parse_tagged(spark.createDataFrame([("f", text), ("g", None), ("h", "")], "file string, value string"))
     assert {r["file"]: r["lemmas"] for r in made.collect()} == {"f": ["ala", "kot"], "g": [], "h": []}
     assert "Exchange" not in _plan(made)
+
+
+def test_lemmas_are_counted_where_their_posts_lie(spark, monkeypatch):
+    monkeypatch.setattr(tfidf, "COUNTED", 40)
+    posts = [(["a", "b"], ["Xx", "yy", "xx", "z"]), (["a"], ["xx", "ww"]), (["c"], ["yy"]), ([], ["vv"]), (["b"], None)] * 9
+    df, common = spark.createDataFrame(posts, "hashtags array<string>, lemmas array<string>"), spark.createDataFrame([("a",), ("b",)], "hashtag string")
+    made = tfidf.tag_documents(df, common)
+    assert _plan(made).count("Exchange") == 1 + _plan(made).count("BroadcastExchange")
+    assert {(r["hashtag"], r["token"]): r["tf"] for r in made.collect()} == {("a", "xx"): 27, ("a", "yy"): 9, ("a", "ww"): 9, ("b", "xx"): 18, ("b", "yy"): 9}
+    weighed = tfidf.weights(made)
+    assert "Window" not in _plan(weighed) and "SortMergeJoin" not in _plan(weighed)
+    lengths = weighed.groupBy("hashtag").agg(F.sum(F.col("weight") * F.col("weight")).alias("x")).collect()
+    assert [r["x"] for r in lengths] == pytest.approx([1.0, 1.0])
