@@ -50,9 +50,10 @@ _RECORD = "SELECT 'f' || event_id % 97 AS file, CAST(event_id AS VARCHAR) AS id,
 
 
 def _record_texts(s: SparkSession, d: str) -> DataFrame:
-    shown = F.concat(F.lit("Type:status\nOrigin:"), "event_type", F.lit("\nmore\nText:"), "props", F.lit("\nID:"), "event_id", F.lit("\nRetCount:3\nHashtags:a b\n***\n"))
-    e = table(s, d, "events").select(F.concat(F.lit("f"), F.col("event_id") % 97).alias("file"), shown.alias("v"))
-    return e.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("v")), "").alias("value"))
+    """The texts of 97 files in pieces of one record, in their order; each file lies in one partition and is not held whole."""
+    shown = F.concat(F.lit("Type:status\nOrigin:"), "event_type", F.lit("\nmore\nText:"), "props", F.lit("\nID:"), "event_id", F.lit("\nRetCount:3\nHashtags:a b\n***"))
+    e = table(s, d, "events").select(F.concat(F.lit("f"), F.col("event_id") % 97).alias("file"), F.lit(0).cast("long").alias("at"), shown.alias("value"), (F.col("event_id") % 97).cast("int").alias("_n"))
+    return e.where("value is not null").repartitionById(97, "_n").drop("_n").sortWithinPartitions("file", "value")
 
 
 def _flat_records(parsed: DataFrame) -> DataFrame:
@@ -68,9 +69,8 @@ def _(s, d):
 def _(s, d):
     """Texts below a folder are found, parsed, saved as compressed CSV a file each, and read again."""
     source, target = _folder(s, "texts"), _folder(s, "parsed")
-    t = _record_texts(s, d)
-    t.repartition("file").write.partitionBy("file").option("lineSep", "\n---\n").text(source)
-    found = S.read_texts(s, source).select(F.regexp_extract("file", "file=([^/]+)", 1).alias("file"), F.regexp_replace("value", "\n---\n", "").alias("value"))
+    _record_texts(s, d).select("file", "value").write.partitionBy("file").text(source)
+    found = S.read_lines(s, source).withColumn("file", F.regexp_extract("file", "file=([^/]+)", 1))
     S.save_per_file(S.parse_records(found, 1), target)
     back = s.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(target)
     return back.select("file", F.col("ID").alias("id"), F.col("Origin").alias("origin"), F.col("Text").alias("text"), F.col("RetCount").cast("int").alias("retweets"), F.col("Hashtags").alias("tags"))

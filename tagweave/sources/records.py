@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tagweave.sources.store import saved
+
 #: The keys of a record and the mark between records.
 KEYS = ("Type", "Origin", "Text", "URL", "ID", "Time", "RetCount", "Favorite", "MentionedEntities", "Hashtags")
 MARK = "***"
 MULTILINE = ("Text", "Origin")
 #: Files that are parsed into one batch.
 FILES = 256
+#: Records that make a batch.
+RECORDS = 4096
 
 
 def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
@@ -22,39 +29,151 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
 
+def read_lines(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """(file, at, value): the lines of the files below path whose names match; no task holds a file.
+
+    at is where the part of the file that is read with a line begins: a large file is read in several parts.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("lineSep", "\n").text(path)
+    return lines.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+
+
 def parse_records(texts: DataFrame, least_tags: int = 0, strict_compat: bool = False) -> DataFrame:
-    """texts (file, value) -> one row per closed record with at least least_tags tags.
+    """texts -> one row per closed record with at least least_tags tags.
+
+    texts is (file, value), a row a whole file, or (file, at, value), pieces of a file that are whole lines without the
+    last line end: those of the same at lie in order, one after the other, in one partition (read_lines; sorted files).
 
     A line whose key is none of KEYS goes on with the latest multi-line field; a file in which one comes before the
     record has such a field is dropped. strict_compat: least_tags 0 keeps nothing.
+
+    Pieces are parsed as a stream, a record at a time, and twice: first for what lies across the edges of parts and for
+    the files to drop, then for the records within the parts. No line is shuffled.
     """
-    lines = texts.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    order = Window.partitionBy("file").orderBy("pos")
-    lines = lines.withColumn("mark", (F.trim("line") == MARK).cast("int"))
-    lines = lines.withColumn("record", F.sum("mark").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    key = F.regexp_extract("line", r"^([^:]*):", 1)
-    lines = lines.withColumn("record", F.coalesce("record", F.lit(0))).withColumn("key", F.when(F.col("line").contains(":") & key.isin(*KEYS), key))
-    last = F.last(F.when(F.col("key").isin(*MULTILINE), F.col("key")), ignorenulls=True)
-    lines = lines.withColumn("field", F.coalesce("key", last.over(order.rowsBetween(Window.unboundedPreceding, 0))))
-    total = F.sum("mark").over(Window.partitionBy("file"))
-    lines = lines.withColumn("closed", F.col("record") < total).where("mark = 0")
-    begun = F.max(F.when(F.col("key") == F.col("field"), F.lit(1))).over(Window.partitionBy("file", "record", "field").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("begun", begun).withColumn("bad", F.max((F.col("key").isNull() & F.col("begun").isNull() & F.col("field").isNotNull() & (F.col("line") != "")).cast("int")).over(Window.partitionBy("file")))
-    lines = lines.where("bad = 0 and closed and field is not null and begun = 1")
-    value = F.when(F.col("key").isNotNull(), F.trim(F.regexp_replace("line", r"^[^:]*:", ""))).otherwise(F.concat(F.lit("\n"), "line", F.lit("\n")))
-    parts = lines.select("file", "record", "field", "pos", value.alias("part")).groupBy("file", "record", "field").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
-    fields = parts.select("file", "record", "field", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("value"))
-    wide = fields.groupBy("file", "record").pivot("field", list(KEYS)).agg(F.first("value"))
+    if strict_compat and least_tags == 0:
+        texts = texts.where(F.lit(False))
+    pieces = texts if "at" in texts.columns else texts.select("file", F.lit(0).cast("long").alias("at"), F.explode(F.split("value", "\n")).alias("value"))
+    pieces = pieces.select("file", F.col("at").cast("long").alias("at"), F.make_valid_utf8("value").alias("value")).where("value is not null")
+    kind, names = texts.schema["file"].dataType.simpleString(), ", ".join(f"{k} string" for k in KEYS)
+    edges = pieces.mapInArrow(_edges, f"file {kind}, at long, n long, marked boolean, part array<string>, multi long, orphan long")
+    edges = edges.repartition("file").sortWithinPartitions("file", "at", "n")
+    joined = saved(edges.mapInArrow(_across, f"file {kind}, at long, before long, record long, {names}"), "across")
+    parts = joined.where("record is null").select(F.col("file").alias("_file"), F.col("at").alias("_at"), "before")
+    inner = pieces.mapInArrow(_within, f"file {kind}, at long, n long, {names}").join(parts, F.col("file").eqNullSafe(F.col("_file")) & (F.col("at") == F.col("_at")))
+    inner = inner.select("file", (F.col("before") + F.col("n")).alias("record"), *KEYS)
+    wide = inner.unionByName(joined.where("record is not null").select("file", "record", *KEYS))
 
     def listed(name: str):
         return F.when(F.coalesce(F.col(name), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(name, " "))
 
     wide = wide.withColumns({"RetCount": F.col("RetCount").cast("int"), "Favorite": F.coalesce(F.col("Favorite") != "", F.lit(False)), "Hashtags": listed("Hashtags"), "MentionedEntities": listed("MentionedEntities")})
-    if strict_compat and least_tags == 0:
-        return wide.where(F.lit(False))
     return wide.where(F.size("Hashtags") >= least_tags)
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(file, at, n, lines, marked): the lines of a part up to its n-th mark; marked is false where the part ends first."""
+    own, n, lines = None, 0, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, at, values = batch.column("file"), batch.column("at"), batch.column("value")
+        codes = file.dictionary_encode("encode").indices.to_numpy()
+        cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(at.to_numpy()) != 0)) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if (key := (file[low].as_py(), at[low].as_py())) != own:
+                if own is not None:
+                    yield *own, n, lines, False
+                own, n, lines = key, 0, []
+            for value in values.slice(low, high - low).to_pylist():
+                for line in value.split("\n"):
+                    if MARK in line and line.strip(" ") == MARK:
+                        yield *own, n, lines, True
+                        n, lines = n + 1, []
+                    else:
+                        lines.append(line)
+    if own is not None:
+        yield *own, n, lines, False
+
+
+def _fields(lines: list[str]) -> tuple[dict[str, str], bool, bool]:
+    """A record's fields, whether one of them may go on over lines, and whether a line stands before such a field."""
+    found: dict[str, str] = {}
+    last, orphan = None, False
+    for line in lines:
+        name, colon, rest = line.partition(":")
+        if colon and name in KEYS:
+            found[name] = found.get(name, "") + rest.strip(" ")
+            last = name if name in MULTILINE else last
+        elif last:
+            found[last] += f"\n{line}\n"
+        elif line:
+            orphan = True
+    return found, last is not None, orphan
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part the lines before its first and after its last mark; with the latter, its first record between them that
+    has a multi-line field and its last one with a line before such a field."""
+    multi = orphan = None
+    names = ["file", "at", "n", "marked", "part", "multi", "orphan"]
+    for file, at, n, lines, marked in _cut(batches):
+        multi, orphan = (multi, orphan) if n else (None, None)
+        if n and marked:
+            _, many, lone = _fields(lines)
+            multi, orphan = n if many and multi is None else multi, n if lone else orphan
+        else:
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.int64(), pa.int64()]
+            yield pa.record_batch([_own(file, 1), *(pa.array([x], k) for x, k in zip((at, n, marked, lines, multi, orphan), kinds, strict=True))], names)
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in the order of files -> the parts of files that are kept, with the records before each, and the records across edges."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    for file, edges in groupby(rows, key=itemgetter("file")):
+        parts, records, lines, number, seen, bad = [], [], [], 0, False, False
+        for e in edges:
+            if e["n"] == 0:
+                parts.append((e["at"], number))
+                lines += e["part"]
+            if e["marked"]:
+                found, many, lone = _fields(lines)
+                bad, seen = bad or (lone and seen), seen or many
+                records += [(number, found)] if found else []
+                number, lines = number + 1, []
+            elif e["n"]:
+                multi, orphan = e["multi"], e["orphan"]
+                bad = bad or (orphan is not None and (seen or (multi is not None and multi < orphan)))
+                number, seen, lines = number + e["n"] - 1, seen or multi is not None, list(e["part"])
+        if not (bad or (_fields(lines)[2] and seen)):
+            blank = [{}] * len(parts)
+            ends = [[at for at, _ in parts] + [None] * len(records), [n for _, n in parts] + [None] * len(records), [None] * len(parts) + [n for n, _ in records]]
+            yield _batch(file, ends, ["at", "before", "record"], blank + [found for _, found in records])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records between the first and the last mark of each part."""
+    own, numbers, records = None, [], []
+    for file, at, n, lines, marked in _cut(batches):
+        if records and ((file, at) != own or len(records) == RECORDS):
+            yield _batch(own[0], [[own[1]] * len(records), numbers], ["at", "n"], records)
+            numbers, records = [], []
+        own = file, at
+        if n and marked and (found := _fields(lines)[0]):
+            numbers.append(n)
+            records.append(found)
+    if records:
+        yield _batch(own[0], [[own[1]] * len(records), numbers], ["at", "n"], records)
+
+
+def _own(file: str | None, n: int) -> pa.Array:
+    return pa.array([file] * n, pa.string() if file is None else None)
+
+
+def _batch(file: str | None, numbers: list[list[int | None]], names: list[str], records: list[dict[str, str]]) -> pa.RecordBatch:
+    columns = [_own(file, len(records)), *(pa.array(x, pa.int64()) for x in numbers), *(pa.array([r.get(k) for r in records], pa.string()) for k in KEYS)]
+    return pa.record_batch(columns, ["file", *names, *KEYS])
+
+
 def save_per_file(records: DataFrame, path: str, merged: bool = False) -> None:
     """CSV, a folder for each input file, or one folder for all; finished output is left as it is.
 

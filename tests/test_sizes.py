@@ -173,3 +173,34 @@ def test_lemmas_are_counted_where_their_posts_lie(spark, monkeypatch):
     assert "Window" not in _plan(weighed) and "SortMergeJoin" not in _plan(weighed)
     lengths = weighed.groupBy("hashtag").agg(F.sum(F.col("weight") * F.col("weight")).alias("x")).collect()
     assert [r["x"] for r in lengths] == pytest.approx([1.0, 1.0])
+
+
+def test_records_of_a_file_are_parsed_in_parts(spark, tmp_path):
+    """Whatever parts a file is read in: records across their edges, numbers, multi-line fields and dropped files stay the same."""
+    good = "".join(f"Type:status\nText:t{i}\n\nmore: of it\nID:{i}\nHashtags:a b\n *** \n" for i in range(30))
+    files = {"good": good + "Text:never closed\n", "bad": good + "ID:1\nstray\nHashtags:a\n***\n", "early": "stray\nHashtags:a\n***\n" + good, "open": "Text:no mark\n"}
+    for name, text in files.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    whole = spark.createDataFrame(list(files.items()), "file string, value string")
+    expected = sorted(map(repr, records.parse_records(whole).collect()))
+    assert len(expected) == 61 and not [r for r in expected if "'bad'" in r]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("40", "300"):
+            for key, value in zip(before, (size, "0"), strict=True):
+                spark.conf.set(key, value)
+            lines = records.read_lines(spark, str(tmp_path)).withColumn("file", F.regexp_extract("file", r"([^/]+)\.txt", 1))
+            assert lines.select("file", "at").distinct().count() > 10
+            assert sorted(map(repr, records.parse_records(lines).collect())) == expected
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_no_row_of_the_records_view_is_a_file(spark, tmp_path):
+    from tagweave.plans import files
+
+    spark.range(4 * 97).selectExpr("id AS event_id", "'view' AS event_type", "'p' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    pieces = files._record_texts(spark, str(tmp_path))
+    assert pieces.groupBy("file").count().where("count = 4").count() == 97
+    assert pieces.select("file", F.spark_partition_id()).distinct().count() == 97
