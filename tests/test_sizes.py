@@ -204,3 +204,36 @@ def test_no_row_of_the_records_view_is_a_file(spark, tmp_path):
     pieces = files._record_texts(spark, str(tmp_path))
     assert pieces.groupBy("file").count().where("count = 4").count() == 97
     assert pieces.select("file", F.spark_partition_id()).distinct().count() == 97
+
+
+def test_trigrams_are_counted_in_one_pass_as_mllib_counts_them(spark):
+    """The features are MLlib's, of characters of any width and of texts longer than a slice; no array of strings is made."""
+    from pyspark.ml.feature import HashingTF, NGram
+
+    from tagweave.plans.recommend import Characters
+
+    texts = ["", "a", "ab", "abc", "Ab\n c\t", "żółć ĄĘ", "日本語テキスト", "😀😁x😂🤣", "İẞǅ ÿÿÿ", "x😀y日zé" * 20000, *(f"text {i} of many " * (i % 7) for i in range(50))]
+    posts = spark.createDataFrame(list(enumerate(texts)), "query long, text string")
+    chars = posts.withColumn("chars", F.split(F.lower("text"), ""))
+    for size in (4096, 1000):
+        expected = HashingTF(numFeatures=size, inputCol="grams", outputCol="features").transform(NGram(n=3, inputCol="chars", outputCol="grams").transform(chars))
+        made = Characters(size).features(posts)
+        assert {r["query"]: r["features"] for r in made.collect()} == {r["query"]: r["features"] for r in expected.select("query", "features").collect()}
+    assert "NGram" not in _plan(made) and "split" not in _plan(made)
+    odd = spark.sql("SELECT 1L AS query, CAST(unhex('61ff62') AS STRING) AS text UNION ALL SELECT 2L, CAST(NULL AS STRING)")
+    assert {r["query"]: r["features"].numNonzeros() for r in Characters().features(odd).collect()} == {1: 1, 2: 0}
+
+
+def test_classifier_takes_texts_or_their_saved_features(spark):
+    from tagweave.plans.recommend import Characters
+    from tagweave.sources.store import saved
+
+    rows = [(i, f"{w} {w} {i}", t) for i in range(40) for w, t in [(("alpha", "a"), ("beta", "b"), ("gamma", "c"))[i % 3]]]
+    posts = spark.createDataFrame([*rows, (40, None, "a"), (41, "alpha", None)], "query long, text string, hashtag string")
+    model = Characters(64)
+    features = saved(model.features(posts), "features")
+    assert features.columns == ["query", "hashtag", "features"]
+    plain = Characters(64).fit(posts).transform(posts.select("query", "text"), 1).collect()
+    got = model.fit(features).transform(features.select("query", "features"), 1).collect()
+    assert sorted(got) == sorted(plain) and len(got) == 42
+    assert all(r["hashtag"] == "abc"[r["query"] % 3] for r in got if r["query"] < 40)
